@@ -24,7 +24,7 @@ from .labelled import labelled_sample
 #: At most so many labelled documents of each class are learned from, and so many terms are kept for each category.
 PER_CLASS, TERMS = 4000, 400
 FOLDS = 5
-RIDGE = 1.0
+RIDGE = 0.3
 #: The chain's categories, from the columns of labels.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_prose", "toxic = 1 and quality = 1"))
 LIMIT = 0.5
