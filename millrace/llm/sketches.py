@@ -97,8 +97,8 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 
 def fingerprints_of_edits(documents: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and the estimated number of
-    distinct shingles, one row per row of documents.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, the estimated number of
+    distinct shingles and the next document's id, one row per row of documents.
 
     The edited text has the last floor(n_chars/3) code points replaced by as many from the start of the next document (by
     descending id; after the last, the first). A null text is empty, a null id is smaller than any other. Rows that
@@ -107,16 +107,15 @@ def fingerprints_of_edits(documents: DataFrame, k: int = K, width: int = WIDTH)
     docs = documents.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     ids = materialize(docs.groupBy("key").agg(F.max(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("rows")), "ids")
     links = materialize(neighbours(ids.select("key", "chars")), "links")
-    heads = docs.join(links, "key").select(F.col("prev_key").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 3).cast("int")).alias("head"), sketch(F.col("text"), k, width).alias("next_sketch"), "text")
+    heads = docs.join(links, "key").select(F.col("prev_key").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 3).cast("int")).alias("head"), sketch(F.col("text"), k, width).alias("next_sketch"), "text", F.col("doc_id").alias("next_id"))
     if ids.filter(F.col("rows") > 1).limit(1).count():
-        heads = heads.groupBy("key").agg(F.min(F.struct("text", "head", "next_sketch")).alias("x")).select("key", "x.head", "x.next_sketch")
-    both = docs.join(heads.select("key", "head", "next_sketch"), "key")
+        heads = heads.groupBy("key").agg(F.min(F.struct("text", "head", "next_sketch", "next_id")).alias("x")).select("key", "x.head", "x.next_sketch", "x.next_id")
+    both = docs.join(heads.select("key", "head", "next_sketch", "next_id"), "key")  # both joins read one shuffle of the same columns
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    both = both.select("doc_id", n.alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "next_sketch")
-    made = both.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text"), k, width).alias("a"), sketch(F.col("edited"), k, width).alias("b"), "next_sketch")
-    held = made.select("*", F.struct("a", "b", "next_sketch").alias("s"))
-    return held.select(
+    both = both.select("doc_id", n.alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "next_sketch", "next_id")
+    made = both.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text"), k, width).alias("a"), sketch(F.col("edited"), k, width).alias("b"), "next_sketch", "next_id")
+    return made.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"),
-        resemblance(F.col("a"), F.col("b"), k).alias("near_edited"), resemblance(F.col("a"), F.col("next_sketch"), k).alias("near_next"), distinct_count(F.col("a"), k).alias("n_shingles"),
+        resemblance(F.col("a"), F.col("b"), k).alias("near_edited"), resemblance(F.col("a"), F.col("next_sketch"), k).alias("near_next"), distinct_count(F.col("a"), k).alias("n_shingles"), "next_id",
     )
