@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,12 @@ from .common import materialize
 from .transducer import Pretokens, blocks, split_special
 
 LIMIT = 1024
-_POOL_MOST = 400_000
+#: Spellings that a worker keeps; beyond, it begins again.
+_POOL_MOST = 1_200_000
+
+
+def _roomy(values: np.ndarray, size: int) -> np.ndarray:
+    return values if len(values) >= size else np.concatenate((values, np.zeros(max(len(values), size - len(values)), values.dtype)))
 
 
 class Encoder:
@@ -36,18 +42,22 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = {x.content: i for i, x in self.library.get_added_tokens_decoder().items()}
-        self.known: dict[bytes, int] = {}
-        self.pool, self.at = np.zeros(1 << 16, "<u4"), [0]
+        self._forget()
 
     def _learn(self, spellings: list[bytes]) -> None:
-        ids = [x.ids for x in self.library.encode_batch_fast([w.decode() for w in spellings], add_special_tokens=False)]
-        for w, i in zip(spellings, ids, strict=True):
-            self.known[w] = len(self.at) - 1
-            end = self.at[-1] + len(i)
-            if end > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), end), "<u4")))
-            self.pool[self.at[-1] : end] = i
-            self.at.append(end)
+        made = self.library.encode_batch_fast([w.decode() for w in spellings], add_special_tokens=False)
+        ids = [x.ids for x in made]
+        first, n = self.count, len(spellings)
+        self.known.update(zip(spellings, range(first, first + n), strict=True))
+        ends = self.at[first] + np.cumsum(np.fromiter(map(len, ids), np.int64, n))
+        self.at, self.pool = _roomy(self.at, first + n + 1), _roomy(self.pool, int(ends[-1]))
+        self.pool[self.at[first] : ends[-1]] = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1] - self.at[first]))
+        self.at[first + 1 : first + n + 1] = ends
+        self.count += n
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.pool, self.at, self.count = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), 0
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, special strings as the library takes them by default."""
@@ -65,11 +75,11 @@ class Encoder:
         raw, begin, length = found.bytes.tobytes(), found.begin[one].tolist(), found.length[one].tolist()
         spelled = [raw[b : b + n] for b, n in zip(begin, length, strict=True)]
         if len(self.known) + len(spelled) > _POOL_MOST:
-            self.known, self.pool, self.at = {}, np.zeros(1 << 16, "<u4"), [0]
+            self._forget()
         if new := [w for w in spelled if w not in self.known]:
             self._learn(new)
         index = np.fromiter(map(self.known.__getitem__, spelled), np.int64, len(spelled))
-        at = np.array(self.at)
+        at = self.at
         start, size = at[index][which], (at[index + 1] - at[index])[which]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.pool[np.repeat(start - total[:-1], size) + np.arange(int(total[-1]))]
