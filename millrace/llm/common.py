@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,17 @@ def window_hashes(ws: Column, width: int) -> Column:
     )
 
 
+def tidy(batches: Iterator) -> Iterator:
+    """The batches, and then what the task has freed goes back to the system: an idle worker should hold little."""
+    import ctypes
+    import gc
+
+    yield from batches
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod3(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0))

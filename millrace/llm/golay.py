@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .components import components
 
 #: Generator polynomial of the code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -102,7 +102,7 @@ def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
             made = np.fromiter((simhash(x.as_py(), width) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "print"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, print bigint")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, print bigint")
 
 
 def _keyed(prints: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _keyed(prints: DataFrame) -> DataFrame:
             reps = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(reps[rows]), pa.array(p[rows]), pa.array(keys)], ["rep", "print", "key"])
 
-    return prints.select("rep", "print").mapInArrow(run, "rep bigint, print bigint, key bigint")
+    return prints.select("rep", "print").mapInArrow(lambda b: tidy(run(b)), "rep bigint, print bigint, key bigint")
 
 
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:

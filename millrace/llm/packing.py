@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, tidy
 from .transducer import Pretokens, blocks, split_special
 
 LIMIT = 1024
 #: Spellings that a worker keeps; beyond, it begins again.
-_POOL_MOST = 1_200_000
+_POOL_MOST = 800_000
 
 
 def _roomy(values: np.ndarray, size: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def pieces(documents: DataFrame, path: str, limit: int = LIMIT, end_id: int = 2)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint")
 
 
 def patterns(limit: int) -> np.ndarray:
@@ -238,7 +238,7 @@ def placed(parts: DataFrame, where: list[tuple[int, int, int, int, int]], limit:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(table[at, 3] + r - table[at, 1]), pa.array(table[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     assert len(first) == limit + 2
-    return parts.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return parts.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def pack(documents: DataFrame, path: str, limit: int = LIMIT, end_id: int = 2) -> DataFrame:

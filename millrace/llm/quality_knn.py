@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod3
+from .common import crc_mod3, tidy
 from .labelled import labelled_sample
 
 #: At most so many labelled documents of each class are learned from.
@@ -155,4 +155,4 @@ def score(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made), pa.array((made >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     read = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), (crc_mod3(F.col("doc_id")) == 1).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return read.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return read.mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, held_out boolean, score double, predicted int")

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod3
+from .common import crc_mod3, tidy
 from .labelled import labelled_sample
 
 #: At most so many labelled documents of each class are learned from, and so many terms are kept for each category.
-PER_CLASS, TERMS = 4000, 400
+PER_CLASS, TERMS = 3000, 400
 FOLDS = 5
 RIDGE = 0.3
 #: The chain's categories, from the columns of labels.
@@ -144,7 +144,7 @@ def learn(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, per_cl
     n_all = sample.agg(F.count(F.lit(1)), *[F.sum(f"is_{n}") for n in names]).first()
     if not n_all[0]:
         return None
-    found = sample.mapInArrow(count, "term string, category int, n bigint").groupBy("term").agg(*[F.sum(F.when(F.col("category") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(-1, len(names))])
+    found = sample.mapInArrow(lambda b: tidy(count(b)), "term string, category int, n bigint").groupBy("term").agg(*[F.sum(F.when(F.col("category") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(-1, len(names))])
     terms: set[str] = set()
     for c in range(len(names)):
         total, own = float(n_all[0]), float(n_all[c + 1] or 0)
@@ -165,7 +165,7 @@ def learn(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, per_cl
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), *batch.columns[2:]], ["doc_id", "present", *[f"is_{n}" for n in names]])
 
     kind = "doc_id bigint, present array<int>, " + ", ".join(f"is_{n} int" for n in names)
-    table = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[f"is_{n}" for n in names]).mapInArrow(known, kind).orderBy("doc_id").toArrow()
+    table = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[f"is_{n}" for n in names]).mapInArrow(lambda b: tidy(known(b)), kind).orderBy("doc_id").toArrow()
     x = np.zeros((table.num_rows, len(index)))
     for k, at in enumerate(table.column("present").to_pylist()):
         x[k, at] = 1
@@ -191,7 +191,7 @@ def _scored(documents: DataFrame, chain: Chain | None, names: list[str]) -> Data
 
     from pyspark.sql import types as T
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *(T.StructField(f"__p_{n}", T.DoubleType()) for n in names)]))
+    return documents.mapInArrow(lambda b: tidy(run(b)), T.StructType([*documents.schema.fields, *(T.StructField(f"__p_{n}", T.DoubleType()) for n in names)]))
 
 
 def score(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: float = LIMIT, **options) -> DataFrame:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # Classes of the splitter's input.
 BREAK, SPACE, WHITE, LETTER, NUMBER, OTHER, QUOTE, C_SINGLE, C_R, C_V, C_L, C_E = range(12)
 # Its states: nothing pending; in a run; after white space that ends in a space or not; after an apostrophe that began a
@@ -337,7 +339,7 @@ def _byte_characters() -> dict[str, int]:
 
 
 #: Code points that are worked on at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 def blocks(texts: list[str], block: int = BLOCK) -> Iterator[tuple[int, int]]:
@@ -401,4 +403,4 @@ def token_counts(documents: DataFrame, path: str, limit: int = 512) -> DataFrame
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"))
-    return read.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
+    return read.mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)

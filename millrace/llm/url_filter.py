@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # One strict term rejects; soft terms reject once SOFT_HITS different ones are found.
 STRICT = ("adult", "casino", "escort", "gambling", "hentai", "porn", "poker", "viagra", "xxx")
 SOFT = ("ads", "bets", "bonus", "cheap", "click", "coupon", "farm", "free", "loan", "pills", "promo", "sex", "slots", "spam", "track", "win")
@@ -91,4 +93,4 @@ def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: in
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft"])
 
     read = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
-    return read.mapInArrow(run, "page_id bigint, host string, path string, rule string, verdict string, n_strict int, n_soft int")
+    return read.mapInArrow(lambda b: tidy(run(b)), "page_id bigint, host string, path string, rule string, verdict string, n_strict int, n_soft int")
