@@ -1,6 +1,314 @@
-"""Every query of the library by name, with its SQL."""
+"""Every query of the library by name, bound to the driver's tables, with its SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.expr import floor5
+from ..operators import baskets, bloom, graph, stats, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Bindings: one Spark and one SQL text for each input schema.
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").filter("l_quantity >= 46").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
+
+
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity >= 46)"
+_MUTUAL = f"{_EDGES}, m AS (SELECT a.src AS u, a.dst AS v FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst)"
+_BOTH = f"{_MUTUAL}, g AS (SELECT u, v FROM m UNION ALL SELECT v, u FROM m)"
+_NORM = "regexp_replace(lower(text), '[^a-z ]+', '', 'g')"
+_TOKENS = f"t AS (SELECT doc_id, unnest(string_split_regex({_NORM}, ' +')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL)"
+
+
+def _mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.mutual_edges(_edges(spark, sf_dir))
+
+
+def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' baskets of part types."""
+    o, li, p = (_read(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
+    return o.join(li, o["o_orderkey"] == li["l_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("o_custkey").alias("basket"), F.col("p_type").alias("item"))
+
+
+_BASKETS = "b AS (SELECT DISTINCT o_custkey AS basket, p_type AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey), s AS (SELECT item, count(*) AS support FROM b GROUP BY item), q AS (SELECT x.item AS a, y.item AS b, count(*) AS support FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY ALL HAVING count(*) >= 50)"
+
+
+def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem")
+    return o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy((F.col("o_custkey") + 1).alias("user"), (F.col("l_partkey") + 1).alias("item")).agg(F.avg("l_quantity").alias("rating"))
+
+
+_RATINGS = "r AS (SELECT o_custkey + 1 AS \"user\", l_partkey + 1 AS item, avg(l_quantity) AS rating FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+_LONG = "x AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)"
+
+
+# Text
+@query("WITH w AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(string_split_regex(text, '[^\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE regexp_matches(w, '^\\p{L}')), c AS (SELECT w[1] AS letter, count(*) AS n FROM w GROUP BY 1) SELECT chr(97 + i::INT) AS letter, coalesce(n, 0) AS n FROM range(26) r(i) LEFT JOIN c ON c.letter = chr(97 + i::INT)")
+def word_initials(spark, sf_dir):
+    return text.word_initials(_read(spark, sf_dir, "documents"))
+
+
+@query(f"WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents), s AS (SELECT doc_id, substr(t, i::INT, 3) AS g FROM n, unnest(range(1, length(t) - 1)) r(i)) SELECT n.doc_id, count(DISTINCT g) AS n_shingles FROM n LEFT JOIN s ON n.doc_id = s.doc_id GROUP BY 1")
+def shingle_counts(spark, sf_dir):
+    return text.shingle_counts(_read(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_TOKENS} SELECT term, count(*) AS df FROM tf GROUP BY term")
+def document_frequencies(spark, sf_dir):
+    return text.document_frequencies(_read(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_TOKENS}, f AS (SELECT term, count(*) AS df FROM tf GROUP BY term), w AS (SELECT doc_id, term, tf * ln((SELECT count(DISTINCT doc_id) FROM documents)::DOUBLE / df) AS raw FROM tf JOIN f USING (term)), n AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM w GROUP BY 1 HAVING norm > 0) SELECT doc_id, term, round(raw / norm, 5) AS w FROM w JOIN n USING (doc_id)")
+def tf_idf(spark, sf_dir):
+    return text.tf_idf(_read(spark, sf_dir, "documents")).withColumn("w", F.round("w", 5))
+
+
+@query(f"WITH {_TOKENS} SELECT term, sum(tf)::BIGINT AS n FROM tf GROUP BY term HAVING sum(tf) >= 5")
+def vocabulary(spark, sf_dir):
+    return text.vocabulary(_read(spark, sf_dir, "documents"))
+
+
+# Baskets
+@query(f"WITH {_BASKETS} SELECT item, support FROM s")
+def item_support(spark, sf_dir):
+    return baskets.item_support(_baskets(spark, sf_dir))
+
+
+@query(f"WITH {_BASKETS} SELECT a, b, support FROM q")
+def frequent_pairs(spark, sf_dir):
+    return baskets.frequent_pairs(_baskets(spark, sf_dir), 50)
+
+
+_RULES = "u AS (SELECT a AS lhs, b AS rhs, support FROM q UNION ALL SELECT b, a, support FROM q), k AS (SELECT lhs, rhs, u.support / s.support AS confidence, u.support FROM u JOIN s ON lhs = item WHERE u.support / s.support >= 0.5)"
+
+
+@query(f"WITH {_BASKETS}, {_RULES} SELECT lhs, rhs, round(confidence, 6) AS confidence, support FROM k")
+def association_rules(spark, sf_dir):
+    return baskets.association_rules(_baskets(spark, sf_dir), 50).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {_BASKETS}, {_RULES} SELECT lhs, rhs, round(confidence, 6) AS confidence, support FROM k ORDER BY k.confidence DESC, support DESC, lhs, rhs LIMIT 10")
+def top_rules(spark, sf_dir):
+    return baskets.top_rules(baskets.association_rules(_baskets(spark, sf_dir), 50)).withColumn("confidence", F.round("confidence", 6))
+
+
+# Graph
+@query(f"WITH {_MUTUAL} SELECT u, v FROM m")
+def mutual_edges(spark, sf_dir):
+    return _mutual(spark, sf_dir)
+
+
+_SQUARES = f"{_BOTH}, z AS (SELECT a.u AS u, b.v AS w, a.v AS v FROM g a JOIN g b ON a.v = b.u WHERE a.u < b.v AND NOT EXISTS (SELECT 1 FROM m WHERE m.u = a.u AND m.v = b.v)), q AS (SELECT DISTINCT list_sort([p.u, p.v, p.w, r.v]) AS s FROM z p JOIN z r ON p.u = r.u AND p.w = r.w AND p.v < r.v WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.u = p.v AND m.v = r.v))"
+
+
+@query(f"WITH {_SQUARES} SELECT s[1] AS u, s[2] AS v, s[3] AS w, s[4] AS x FROM q")
+def chordless_squares(spark, sf_dir):
+    return graph.chordless_squares(_mutual(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT dst AS node FROM e EXCEPT SELECT src FROM e")
+def dead_ends(spark, sf_dir):
+    return graph.dead_ends(_edges(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES}, o AS (SELECT src, count(*) AS n, sum((src <> dst)::INT) AS k, max(CASE WHEN src <> dst THEN dst END) AS other FROM e GROUP BY src) SELECT src AS node FROM o WHERE n = 1 AND k = 0 UNION SELECT a.src FROM o a JOIN o b ON a.other = b.src AND b.other = a.src WHERE a.k = 1 AND b.k = 1")
+def spider_traps(spark, sf_dir):
+    return graph.spider_traps(_edges(spark, sf_dir))
+
+
+def _rank_sql(rounds: int) -> str:
+    parts = [_EDGES, "n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)", "c AS (SELECT count(*) AS n FROM n)", "o AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e)", "r0 AS (SELECT node, 1.0 / c.n AS rank FROM n, c)"]
+    for k in range(rounds):
+        parts.append(f"g{k} AS (SELECT dst, sum(rank / deg) AS got FROM o JOIN r{k} ON src = node GROUP BY dst)")
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT node, 0.1 / c.n + 0.9 * (1 - (SELECT sum(got) FROM g{k})) / c.n + 0.9 * coalesce(got, 0) AS rank FROM n LEFT JOIN g{k} ON node = dst, c)")
+    return f"WITH {', '.join(parts)} SELECT node, round(rank, 6) AS rank FROM r{rounds}"
+
+
+@query(_rank_sql(8))
+def page_rank(spark, sf_dir):
+    return graph.page_rank(_edges(spark, sf_dir), rounds=8, tolerance=0.0).withColumn("rank", F.round("rank", 6))
+
+
+@query()
+def page_rank_top(spark, sf_dir):
+    """The ten greatest ranks, rounded down to five decimals, after the ranks settle."""
+    return graph.rank_order(graph.page_rank(_edges(spark, sf_dir), rounds=20).withColumn("rank", floor5(F.col("rank"))), "rank", "node", 10)
+
+
+def _walk_sql(p: float, q: float, length: int = 5) -> str:
+    parts = [_BOTH, "w1 AS (SELECT u AS start, u AS prev, min(v) AS cur FROM g GROUP BY u)"]
+    for k in range(1, length - 1):
+        parts.append(f"w{k + 1} AS (SELECT start, any_value(cur) AS prev, arg_min(nbr, (-wt, nbr)) AS cur FROM (SELECT w.start, w.cur, g.v AS nbr, CASE WHEN g.v = w.prev THEN {1 / p} WHEN EXISTS (SELECT 1 FROM g h WHERE h.u = w.prev AND h.v = g.v) THEN 1.0 ELSE {1 / q} END AS wt FROM w{k} w JOIN g ON g.u = w.cur) GROUP BY start)")
+    steps = " UNION ALL ".join(["SELECT start, 0 AS step, start AS node FROM w1", *[f"SELECT start, {k} AS step, cur AS node FROM w{k}" for k in range(1, length)]])
+    return f"WITH {', '.join(parts)} {steps}"
+
+
+def _walks(name: str, p: float, q: float) -> None:
+    def walk(spark, sf_dir):
+        return graph.biased_walks(_mutual(spark, sf_dir), p, q)
+
+    walk.__name__ = name
+    query(_walk_sql(p, q))(walk)
+
+
+for _name, _p, _q in (("biased_walks_even", 1.0, 1.0), ("biased_walks_far", 2.0, 0.5), ("biased_walks_near", 0.5, 2.0)):
+    _walks(_name, _p, _q)
+
+
+@query(f"WITH k AS ({_walk_sql(1.0, 1.0)}) SELECT a.node AS center, b.node AS context, count(*) AS n FROM k a JOIN k b ON a.start = b.start AND a.step <> b.step AND abs(a.step - b.step) <= 2 GROUP BY ALL")
+def window_pairs(spark, sf_dir):
+    return graph.window_pairs(graph.biased_walks(_mutual(spark, sf_dir), 1.0, 1.0))
+
+
+@query(f"WITH {_LONG}, k AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT vec_id AS src, (vec_id * 7 + 1) % k.n AS dst FROM embeddings, k), e AS (SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s) SELECT e.src AS node, x.d, round(avg(x.x), 6) AS value FROM e JOIN x ON x.id = e.dst GROUP BY ALL")
+def neighbour_mean(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    n = p.count()
+    s = p.select(F.col("id").alias("src"), ((F.col("id") * 7 + 1) % n).alias("dst"))
+    edges = s.unionByName(s.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.neighbour_mean(edges, stats.long_form(p, "id", "v").select(F.col("id").alias("node"), "d", F.col("x").alias("value"))).withColumn("value", F.round("value", 6))
+
+
+# Bloom
+def _bits(key: str, seed: int, m: int) -> str:
+    h = f"sha256(unhex('{seed.to_bytes(4, 'little').hex()}') || encode({key}))"
+    little = " || ".join(f"{h}[{2 * k + 1}:{2 * k + 2}]" for k in range(7, -1, -1))
+    return f"((('0x' || {little})::UBIGINT) % {m})::BIGINT"
+
+
+def _filter_sql(m: int, k: int, base: int = 0) -> str:
+    at = ", ".join(_bits("key", base + i, m) for i in range(k))
+    return f"SELECT k.key, bool_and(s.at IS NOT NULL) AS hit FROM (SELECT key, unnest([{at}]) AS at FROM probes) k LEFT JOIN (SELECT DISTINCT unnest([{at}]) AS at FROM keys) s ON k.at = s.at GROUP BY 1"
+
+
+_KEYS = "keys AS (SELECT 'https://site' || (c_custkey % 100000) || '.gov.kr/page/' || c_custkey AS key FROM customer WHERE c_custkey % 2 = 0), probes AS (SELECT 'https://site' || (c_custkey % 100000) || '.gov.kr/page/' || c_custkey AS key FROM customer WHERE c_custkey % 2 = 1)"
+
+
+def _keys(spark, sf_dir, odd: int) -> DataFrame:
+    i = F.col("c_custkey")
+    return _read(spark, sf_dir, "customer").filter(i % 2 == odd).select(F.concat(F.lit("https://site"), (i % 100000).cast("string"), F.lit(".gov.kr/page/"), i.cast("string")).alias("key"))
+
+
+@query(f"WITH {_KEYS} {_filter_sql(20000, 5)}")
+def bloom_probe(spark, sf_dir):
+    return bloom.probe(_keys(spark, sf_dir, 1), bloom.build(_keys(spark, sf_dir, 0), 20000, 5), 20000, 5)
+
+
+@query(f"WITH {_KEYS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, round(avg(hit::INT), 6) AS fpr FROM ({_filter_sql(20000, k)})" for k in (1, 3, 5, 7)) + ")")
+def bloom_sweep(spark, sf_dir):
+    out = None
+    for k in (1, 3, 5, 7):
+        one = bloom.false_positive_rate(bloom.probe(_keys(spark, sf_dir, 1), bloom.build(_keys(spark, sf_dir, 0), 20000, k), 20000, k)).select(F.lit(k).alias("k"), F.round("fpr", 6).alias("fpr"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {_KEYS}, a AS ({_filter_sql(10000, 5)}), b AS ({_filter_sql(10000, 5, 1000)}) SELECT a.key, a.hit AND b.hit AS hit FROM a JOIN b USING (key)")
+def bloom_cascade(spark, sf_dir):
+    return bloom.cascade(_keys(spark, sf_dir, 1), _keys(spark, sf_dir, 0), 10000, 10000, 5, 5)
+
+
+# Ratings
+@query(f"""WITH {_RATINGS}, s AS (SELECT DISTINCT "user", item FROM r), t AS (SELECT count(*) AS n, count(DISTINCT "user") AS u, count(DISTINCT item) AS i FROM s)
+SELECT 'user' AS kind, "user" AS id, round(count(*) / any_value(t.i) - any_value(t.n / (t.u * t.i)), 6) AS bias FROM s, t GROUP BY 2 UNION ALL SELECT 'item', item, round(count(*) / any_value(t.u) - any_value(t.n / (t.u * t.i)), 6) FROM s, t GROUP BY 2""")
+def rating_biases(spark, sf_dir):
+    return stats.biases(_ratings(spark, sf_dir)).withColumn("bias", F.round("bias", 6))
+
+
+@query(f"""WITH {_RATINGS}, c AS (SELECT *, rating - avg(rating) OVER (PARTITION BY "user") AS c FROM r), n AS (SELECT "user", sqrt(sum(c * c)) AS norm FROM c GROUP BY 1 HAVING norm > 0),
+k AS (SELECT a."user", round(sum(a.c * b.c) / any_value(norm), 9) AS s FROM c a JOIN c b ON a.item = b.item AND b."user" = 60 JOIN n ON n."user" = a."user" WHERE a."user" <> 60 GROUP BY 1 ORDER BY s DESC, 1 LIMIT 10)
+SELECT item, round(avg(rating), 6) AS score FROM r JOIN k USING ("user") WHERE item <= 1000 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
+def user_based_top(spark, sf_dir):
+    return stats.user_based(_ratings(spark, sf_dir), 60)
+
+
+# Vectors
+@query(f"WITH {_LONG} SELECT d::INT AS d, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS lowest, round(max(x), 6) AS highest FROM x GROUP BY 1")
+def column_stats(spark, sf_dir):
+    return stats.column_stats(stats.long_form(_points(spark, sf_dir), "id", "v")).select("d", *[F.round(c, 6).alias(c) for c in ("mean", "std", "lowest", "highest")])
+
+
+@query(f"WITH {_LONG} SELECT a.d::INT AS i, b.d::INT AS j, round(sum(a.x * b.x), 5) AS v FROM x a JOIN x b USING (id) GROUP BY ALL")
+def gram_matrix(spark, sf_dir):
+    return stats.gram(stats.long_form(_points(spark, sf_dir), "id", "v"), "id").withColumn("v", F.round("v", 5))
+
+
+_CENTRES = [0, 1, 2, 3, 4]
+
+
+@query(f"WITH {_LONG}, k AS (SELECT a.id, b.id AS cluster, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM x a JOIN x b ON a.d = b.d AND b.id < 5 GROUP BY ALL) SELECT id, arg_min(cluster, (d2, cluster))::INT AS cluster, round(min(d2), 5) AS d2 FROM k GROUP BY id")
+def nearest_centre(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    centres = [r["v"] for r in p.filter(F.col("id").isin(_CENTRES)).orderBy("id").collect()]
+    return stats.nearest(p, centres).select("id", "cluster", F.round("d2", 5).alias("d2"))
+
+
+@query()
+def kmeans_labels(spark, sf_dir):
+    """Farthest-first centres moved by k-means."""
+    p = _points(spark, sf_dir)
+    centres = stats.lloyd(p, [c for _, c in stats.farthest_first(p, 5)])
+    return stats.nearest(p, centres).select("id", "cluster", F.round("d2", 5).alias("d2"))
+
+
+@query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
+def cosine_top(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return stats.cosine_top(p, p.filter("id = 0").first()["v"], 10)
+
+
+# Regression and evaluation
+@query("WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem) SELECT round(a, 4) AS intercept, round(b, 4) AS slope, round(avg((l_extendedprice - a - b * l_quantity) ** 2) / 1e6, 4) AS mse FROM lineitem, s GROUP BY a, b")
+def linear_regression(spark, sf_dir):
+    rows, x = _read(spark, sf_dir, "lineitem"), [F.col("l_quantity")]
+    w = stats.least_squares(rows, F.col("l_extendedprice"), x)
+    return rows.agg(F.round(F.avg((F.col("l_extendedprice") - stats.predicted(w, x)) ** 2) / 1e6, 4).alias("mse")).select(F.lit(round(float(w[0]), 4)).alias("intercept"), F.lit(round(float(w[1]), 4)).alias("slope"), "mse")
+
+
+@query("WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, sum(l_quantity ** 2) - count(*) * avg(l_quantity) ** 2 AS sxx, sum(l_quantity * l_extendedprice) - count(*) * avg(l_quantity) * avg(l_extendedprice) AS sxy FROM lineitem) SELECT round(sxy / (sxx + 1000), 4) AS slope, round(my - mx * sxy / (sxx + 1000), 3) AS intercept FROM s")
+def ridge_regression(spark, sf_dir):
+    w = stats.least_squares(_read(spark, sf_dir, "lineitem"), F.col("l_extendedprice"), [F.col("l_quantity")], ridge=1000.0)
+    return spark.range(1).select(F.lit(round(float(w[1]), 4)).alias("slope"), F.lit(round(float(w[0]), 3)).alias("intercept"))
+
+
+@query(f"WITH {_LONG}, k AS (SELECT a.id, any_value(a.label) AS truth, b.id AS c, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM x a JOIN x b ON a.d = b.d AND b.id < 5 GROUP BY ALL), g AS (SELECT id, any_value(truth) AS truth, arg_min(c, (d2, c)) AS guess FROM k GROUP BY id), l AS (SELECT truth AS label, 1 AS t, 0 AS g, (truth = guess)::INT AS h FROM g UNION ALL SELECT guess, 0, 1, 0 FROM g), s AS (SELECT label, sum(t) AS t, sum(g) AS g, sum(h) AS h FROM l GROUP BY 1), p AS (SELECT label, CASE WHEN g > 0 THEN h / g ELSE 0 END AS p, CASE WHEN t > 0 THEN h / t ELSE 0 END AS r FROM s) SELECT label::INT AS label, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM p")
+def label_scores(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    centres = [r["v"] for r in p.filter(F.col("id").isin(_CENTRES)).orderBy("id").collect()]
+    guessed = stats.nearest(p, centres).select("id", F.col("cluster").alias("guess")).join(p.select("id", F.col("label").alias("truth")), "id")
+    return stats.confusion(guessed, "truth", "guess").select(F.col("label").cast("int").alias("label"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query()
+def logistic_quality(spark, sf_dir):
+    """quality by length and lines, after 20 rounds of gradient descent: the share of right guesses."""
+    d = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id").select("quality", F.log1p("n_chars").alias("a"), F.log1p(F.size(F.split("text", "\n"))).alias("b"))
+    w = stats.logistic_descent(d, F.col("quality"), [F.col("a"), F.col("b")], 0.1, 20)
+    guess = (stats.predicted(w, [F.col("a"), F.col("b")]) >= 0).cast("int")
+    return d.agg(F.round(F.avg((guess == F.col("quality")).cast("int")), 6).alias("accuracy"))
