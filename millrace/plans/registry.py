@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import floor5
-from ..operators import baskets, bloom, graph, stats, text
+from ..operators import baskets, bloom, graph, minhash, stats, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -312,3 +312,20 @@ def logistic_quality(spark, sf_dir):
     w = stats.logistic_descent(d, F.col("quality"), [F.col("a"), F.col("b")], 0.1, 20)
     guess = (stats.predicted(w, [F.col("a"), F.col("b")]) >= 0).cast("int")
     return d.agg(F.round(F.avg((guess == F.col("quality")).cast("int")), 6).alias("accuracy"))
+
+
+# MinHash
+def _minhash_sql(threshold: float = 0.9) -> str:
+    a, b = minhash.constants()
+    code = lambda k: f"(CASE WHEN t[i + {k}] = ' ' THEN 0 ELSE ascii(t[i + {k}]) - 96 END)"
+    sig = ", ".join(f"min((c * {x} + {y}) % {minhash.PRIME})" for x, y in zip(a, b, strict=True))
+    bands = " UNION ALL ".join(f"SELECT rep, n, sig, {k} AS band, sig[{k * minhash.ROWS + 1}:{(k + 1) * minhash.ROWS}] AS key FROM c" for k in range(minhash.BANDS))
+    return f"""WITH x AS (SELECT doc_id, {_NORM} AS t FROM documents), s AS (SELECT DISTINCT doc_id, {code(0)} * 729 + {code(1)} * 27 + {code(2)} AS c FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM x)),
+g AS (SELECT doc_id, [{sig}] AS sig FROM s GROUP BY doc_id), c AS (SELECT sig, min(doc_id) AS rep, count(*) AS n FROM g GROUP BY sig), k AS ({bands})
+SELECT DISTINCT p.rep AS a, q.rep AS b, p.n AS n_a, q.n AS n_b, round(list_sum([(p.sig[j] = q.sig[j])::INT for j in range(1, {minhash.BANDS * minhash.ROWS + 1})]) / {minhash.BANDS * minhash.ROWS}, 6) AS agreement
+FROM k p JOIN k q ON p.band = q.band AND p.key = q.key AND p.rep < q.rep WHERE list_sum([(p.sig[j] = q.sig[j])::INT for j in range(1, {minhash.BANDS * minhash.ROWS + 1})]) / {minhash.BANDS * minhash.ROWS} >= {threshold}"""
+
+
+@query(_minhash_sql())
+def minhash_pairs(spark, sf_dir):
+    return minhash.similar(minhash.signatures(_read(spark, sf_dir, "documents"))).withColumn("agreement", F.round("agreement", 6))
