@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import floor5
-from ..operators import baskets, bloom, graph, minhash, stats, text
+from ..operators import baskets, bloom, density, graph, hyperplanes, learners, minhash, pairwise, recommend, stats, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -329,3 +330,140 @@ FROM k p JOIN k q ON p.band = q.band AND p.key = q.key AND p.rep < q.rep WHERE l
 @query(_minhash_sql())
 def minhash_pairs(spark, sf_dir):
     return minhash.similar(minhash.signatures(_read(spark, sf_dir, "documents"))).withColumn("agreement", F.round("agreement", 6))
+
+
+# Hyperplanes
+_SIGNS = [f"(CASE WHEN (('0x' || md5(term)[{k // 4 + 1}])::INT >> {k % 4}) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)" for k in range(hyperplanes.PLANES)]
+_WEIGHTS = f"{_TOKENS}, f AS (SELECT term, count(*) AS df FROM tf GROUP BY term), w0 AS (SELECT doc_id, term, tf * ln((SELECT count(DISTINCT doc_id) FROM documents)::DOUBLE / df) AS raw FROM tf JOIN f USING (term)), n0 AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM w0 GROUP BY 1 HAVING norm > 0), w AS (SELECT doc_id, term, raw / norm AS w FROM w0 JOIN n0 USING (doc_id))"
+_BUCKETS = f"b AS (SELECT doc_id, {' + '.join(f'(round(sum(w * {s}), 9) >= 0)::INT * {1 << k}' for k, s in enumerate(_SIGNS))} AS bucket FROM w GROUP BY 1)"
+
+
+@query(f"WITH {_WEIGHTS}, {_BUCKETS} SELECT doc_id, bucket::INT AS bucket FROM b")
+def hyperplane_buckets(spark, sf_dir):
+    return hyperplanes.signatures(text.tf_idf(_read(spark, sf_dir, "documents")))
+
+
+@query(f"""WITH {_WEIGHTS}, g AS (SELECT doc_id, list_sort(list_filter(string_split_regex({_NORM}, ' +'), lambda x: x <> '')) AS bag FROM documents), c AS (SELECT min(doc_id) AS rep, count(*) AS n FROM g GROUP BY bag),
+v AS (SELECT w.* FROM w JOIN c ON doc_id = rep), {_BUCKETS.replace('FROM w ', 'FROM v ')}, d AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS s FROM v x JOIN b p ON p.doc_id = x.doc_id JOIN v y ON x.term = y.term AND x.doc_id < y.doc_id JOIN b q ON q.doc_id = y.doc_id AND p.bucket = q.bucket GROUP BY ALL)
+SELECT a, b, p.n AS n_a, q.n AS n_b, round(s, 6) AS similarity FROM d JOIN c p ON p.rep = a JOIN c q ON q.rep = b WHERE 1 - s < 0.1""")
+def hyperplane_pairs(spark, sf_dir):
+    return hyperplanes.similar(_read(spark, sf_dir, "documents")).withColumn("similarity", F.round("similarity", 6))
+
+
+# Recommendation
+@query(f"""WITH {_RATINGS}, c AS (SELECT *, rating - avg(rating) OVER (PARTITION BY "user") AS c FROM r), n AS (SELECT item, sqrt(sum(c * c)) AS norm FROM c GROUP BY 1 HAVING norm > 0),
+u AS (SELECT "user", item, c / norm AS c FROM c JOIN n USING (item)), p AS (SELECT a.item, b.item AS other, round(sum(a.c * b.c), 9) AS s FROM u a JOIN u b ON a."user" = b."user" AND a.item <= 1000 AND b.item > 1000 GROUP BY ALL),
+k AS (SELECT item, other FROM p QUALIFY row_number() OVER (PARTITION BY item ORDER BY s DESC, other DESC) <= 10), g AS (SELECT k.item, avg(rating) AS score FROM k JOIN r ON r.item = other AND r."user" = 60 GROUP BY 1)
+SELECT item, round(coalesce(score, 0), 6) AS score FROM n LEFT JOIN g USING (item) WHERE item <= 1000 ORDER BY 2 DESC, 1 LIMIT 5""")
+def item_based_top(spark, sf_dir):
+    return recommend.item_based(_ratings(spark, sf_dir), 60)
+
+
+@query()
+def factor_scores(spark, sf_dir):
+    """Scores of each user with the item after their own number, by eleven factors; SQL has no singular vectors."""
+    ratings = _ratings(spark, sf_dir)
+    return recommend.predict(recommend.factorize(ratings), ratings.select("user", (F.col("user") + 1).alias("item")).distinct())
+
+
+# Distances between points
+_DISTANCES = "p AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.id AS i, b.id AS j, a.label AS own, b.label AS cluster, list_distance(a.v, b.v) AS d FROM p a, p b)"
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    return _points(spark, sf_dir).withColumnRenamed("label", "cluster")
+
+
+@query(f"WITH {_DISTANCES}, s AS (SELECT i, own, cluster, sum(d) AS total, count(*) AS n FROM d GROUP BY ALL), t AS (SELECT i, max(CASE WHEN own = cluster AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN own <> cluster THEN total / n END) AS b FROM s GROUP BY i) SELECT i AS id, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS s FROM t")
+def silhouette(spark, sf_dir):
+    return pairwise.silhouettes(_labelled(spark, sf_dir)).withColumn("s", F.round("s", 6))
+
+
+@query(f"WITH {_DISTANCES} SELECT own::INT AS cluster, round(max(d), 6) AS diameter FROM d WHERE own = cluster GROUP BY 1")
+def cluster_diameters(spark, sf_dir):
+    return pairwise.diameters(_labelled(spark, sf_dir)).withColumn("diameter", F.round("diameter", 6))
+
+
+@query(f"WITH {_LONG}, c AS (SELECT label, d, avg(x) AS m FROM x GROUP BY ALL), r AS (SELECT x.label, id, sqrt(sum((x - m) ** 2)) AS r FROM x JOIN c USING (label, d) GROUP BY ALL), s AS (SELECT label, avg(r) AS s FROM r GROUP BY 1), g AS (SELECT a.label AS k, b.label AS l, sqrt(sum((a.m - b.m) ** 2)) AS gap FROM c a JOIN c b ON a.d = b.d AND a.label <> b.label GROUP BY ALL), w AS (SELECT k, max((p.s + q.s) / gap) AS w FROM g JOIN s p ON p.label = k JOIN s q ON q.label = l WHERE gap > 0 GROUP BY k) SELECT round(avg(w), 6) AS \"index\" FROM w")
+def davies_bouldin(spark, sf_dir):
+    return pairwise.davies_bouldin(_labelled(spark, sf_dir)).withColumn("index", F.round("index", 6))
+
+
+_EPS, _MIN = 1.18, 4
+
+
+@query(f"""WITH RECURSIVE {_DISTANCES}, n AS (SELECT i, j FROM d WHERE d <= {_EPS}), core AS (SELECT i AS id FROM n GROUP BY 1 HAVING count(*) >= {_MIN}), e AS (SELECT n.* FROM n JOIN core a ON a.id = i JOIN core b ON b.id = j),
+reach AS (SELECT id, id AS root FROM core UNION SELECT e.j, root FROM reach JOIN e ON e.i = reach.id), root AS (SELECT id, min(root) AS root FROM reach GROUP BY 1),
+b AS (SELECT n.i AS id, min(root) AS root FROM n JOIN root ON root.id = n.j WHERE n.i NOT IN (SELECT id FROM core) GROUP BY 1 HAVING min(root) < n.i), l AS (SELECT * FROM root UNION ALL SELECT * FROM b), k AS (SELECT root, row_number() OVER (ORDER BY root) AS c FROM (SELECT DISTINCT root FROM root))
+SELECT p.id, coalesce(c, -1)::INT AS cluster FROM p LEFT JOIN l ON l.id = p.id LEFT JOIN k ON k.root = l.root""")
+def dbscan(spark, sf_dir):
+    return density.dbscan(_points(spark, sf_dir), _EPS, _MIN)
+
+
+@query()
+def dbscan_grid(spark, sf_dir):
+    """Clusters, noise and silhouette by settings; each cell is the dbscan and silhouette queries together."""
+    return density.dbscan_grid(_points(spark, sf_dir), [1.15, 1.2], [4, 6])
+
+
+@query()
+def agglomerative_ward(spark, sf_dir):
+    """Ten clusters by Ward's merging; SQL has no such sequence of merges."""
+    return learners.agglomerative(_points(spark, sf_dir), 10)
+
+
+# Projections and scales
+_WIDTH = 64
+_RANDOM = np.random.RandomState(42).randn(_WIDTH, 2)
+
+
+@query("SELECT vec_id AS id, " + ", ".join(f"round(list_dot_product(embedding::DOUBLE[], {[float(x) for x in _RANDOM[:, k]]}::DOUBLE[]), 5) AS w{k}" for k in range(2)) + " FROM embeddings")
+def random_projection(spark, sf_dir):
+    return learners.random_projection(_points(spark, sf_dir), _WIDTH, 2).select("id", *[F.round(F.get("w", F.lit(k)), 5).alias(f"w{k}") for k in range(2)])
+
+
+def _distance_correlation_sql() -> str:
+    w = "[" + ", ".join(f"list_dot_product(embedding::DOUBLE[], {[float(x) for x in _RANDOM[:, k]]}::DOUBLE[])" for k in range(2)) + "]"
+    return f"WITH p AS (SELECT embedding::DOUBLE[] AS v, {w} AS w FROM embeddings) SELECT round(corr(list_distance(a.v, b.v), list_distance(a.w, b.w)), 6) AS r FROM p a, p b"
+
+
+@query(_distance_correlation_sql())
+def distance_correlation(spark, sf_dir):
+    return pairwise.distance_correlation(learners.random_projection(_points(spark, sf_dir), _WIDTH, 2)).withColumn("r", F.round("r", 6))
+
+
+@query()
+def principal_scores(spark, sf_dir):
+    """Two leading principal components of each vector; SQL has no eigenvectors."""
+    p = _points(spark, sf_dir)
+    mean = [r["mean"] for r in stats.column_stats(stats.long_form(p, "id", "v")).orderBy("d").collect()]
+    _, directions = learners.principal(stats.covariance(p, "v", _WIDTH), 2)
+    return learners.projected(p, directions, mean).select("id", *[F.get("w", F.lit(k)).alias(f"w{k}") for k in range(2)])
+
+
+@query(f"WITH {_LONG}, s AS (SELECT d, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS low, max(x) AS high FROM x GROUP BY 1) SELECT id, d::INT AS d, round((x - mean) / std, 5) AS z, round((x - low) / (high - low), 6) AS m FROM x JOIN s USING (d)")
+def scaled_columns(spark, sf_dir):
+    return learners.scaled(stats.long_form(_points(spark, sf_dir), "id", "v")).select("id", "d", F.round("z", 5).alias("z"), F.round("m", 6).alias("m"))
+
+
+@query(f"WITH {_LONG} SELECT d::INT AS d, quantile_disc(x, 0.5) AS lower_median FROM x GROUP BY 1")
+def column_medians(spark, sf_dir):
+    return stats.long_form(_points(spark, sf_dir), "id", "v").groupBy("d").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY x)").alias("lower_median"))
+
+
+# Models over subsets and a network
+@query("WITH m AS (SELECT l_orderkey % 20 AS s, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1), t AS (SELECT row_number() OVER () AS r, l_extendedprice AS y, l_quantity AS x FROM lineitem WHERE l_orderkey % 5 = 0), g AS (SELECT r, any_value(y) AS y, avg(a + b * x) AS mean, var_pop(a + b * x) AS v FROM t, m GROUP BY ALL) SELECT round(avg((mean - y) ** 2) / 1e6, 4) AS bias2, round(avg(v) / 1e6, 6) AS variance FROM g")
+def bias_variance(spark, sf_dir):
+    rows, x = _read(spark, sf_dir, "lineitem"), [F.col("l_quantity")]
+    models = learners.subset_models(rows.filter("l_orderkey % 5 <> 0"), F.col("l_extendedprice"), x, F.col("l_orderkey") % 20)
+    got = learners.bias_variance(rows.filter("l_orderkey % 5 = 0"), F.col("l_extendedprice"), x, models)
+    return got.select(F.round(F.col("bias2") / 1e6, 4).alias("bias2"), F.round(F.col("variance") / 1e6, 6).alias("variance"))
+
+
+@query()
+def network_quality(spark, sf_dir):
+    """quality by length and lines through a small network with Adam's steps: the share of right guesses."""
+    d = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id").select("quality", (F.log1p("n_chars") - 6).alias("a"), F.log1p(F.size(F.split("text", "\n"))).alias("b"))
+    w, _ = learners.network(d, ["a", "b"], "quality", rounds=15, adam=True)
+    guess = (learners.network_scores([F.col("a"), F.col("b")], w) >= 0.5).cast("int")
+    return d.agg(F.round(F.avg((guess == F.col("quality")).cast("int")), 6).alias("accuracy"))
