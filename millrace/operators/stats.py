@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +27,24 @@ def gram(long: DataFrame, key: str) -> DataFrame:
 
 
 def covariance(rows: DataFrame, vector: str, width: int) -> np.ndarray:
-    """Population covariance of a narrow matrix: one pass, width^2 sums to the driver."""
-    x = [F.get(vector, F.lit(k)).cast("double") for k in range(width)]
-    got = rows.agg(F.array(*[F.covar_pop(x[i], x[j]) for i in range(width) for j in range(i + 1)])).first()[0]
-    out = np.zeros((width, width))
-    out[np.tril_indices(width)] = got
-    return out + np.tril(out, -1).T
+    """Population covariance of a narrow matrix in two passes, means and then centred products; tasks send width^2 sums."""
+    table = rows.select(F.col(vector).cast("array<double>").alias("v")).na.drop()
+
+    def passed(of) -> np.ndarray:
+        def sums(batches):
+            total, n = 0.0, 0
+            for batch in batches:
+                x = np.array(batch["v"].tolist(), float).reshape(-1, width)
+                total, n = total + of(x), n + len(x)
+            if n:
+                yield pd.DataFrame({"k": range(total.size + 1), "x": [*total.ravel(), n]})
+
+        got = table.mapInPandas(sums, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
+        out = np.array([r["x"] for r in got])
+        return out[:-1] / out[-1] if len(out) else np.zeros(of(np.zeros((0, width))).size)
+
+    mean = passed(lambda x: x.sum(axis=0))
+    return passed(lambda x: (x - mean).T @ (x - mean)).reshape(width, width)
 
 
 def power_iteration(matrix: np.ndarray, most: int = 10_000, delta: float = 1e-6, seed: int = 42) -> tuple[float, np.ndarray]:
