@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import golay, mixing, packing, secrets, toxicity
+from millrace.llm import mixing, packing, resemblance, secrets, toxicity
 from millrace.llm.common import shared_dir, workers_find_us
 from millrace.llm.queries import tokenizer_path
 
@@ -22,9 +22,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each near-duplicate group."""
+    """Keeps the first document of each group of near-duplicates: five-word shingles, Jaccard likeness of 0.8 or more."""
     workers_find_us(spark)
-    return golay.keep_one(docs)
+    return resemblance.keep_one(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
