@@ -361,6 +361,15 @@ def minhash_pairs(spark, sf_dir):
     return minhash.similar(minhash.signatures(_read(spark, sf_dir, "documents"))).withColumn("agreement", F.round("agreement", 6))
 
 
+_MINHASH_CLASSES = _minhash_sql().split(", k AS (", 1)[0]
+_LINKED = "l AS (SELECT a AS rep, n_b AS n FROM pr UNION ALL SELECT b, n_a FROM pr), m AS (SELECT rep, sum(n) AS n FROM l GROUP BY 1)"
+
+
+@query(f"{_MINHASH_CLASSES}, pr AS ({_minhash_sql()}), {_LINKED} SELECT d.doc_id, c.rep, coalesce(c.n - 1 + coalesce(m.n, 0), 0)::BIGINT AS n_links FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN c ON c.sig = g.sig LEFT JOIN m ON m.rep = c.rep")
+def minhash_members(spark, sf_dir):
+    return minhash.members(_read(spark, sf_dir, "documents"))
+
+
 # Hyperplanes
 _SIGNS = [f"(CASE WHEN (('0x' || md5(term)[{k // 4 + 1}])::INT >> {k % 4}) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)" for k in range(hyperplanes.PLANES)]
 _WEIGHTS = f"{_TOKENS}, f AS (SELECT term, count(*) AS df FROM tf GROUP BY term), w0 AS (SELECT doc_id, term, tf * ln((SELECT count(DISTINCT doc_id) FROM documents)::DOUBLE / df) AS raw FROM tf JOIN f USING (term)), n0 AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM w0 GROUP BY 1 HAVING norm > 0), w AS (SELECT doc_id, term, raw / norm AS w FROM w0 JOIN n0 USING (doc_id))"
@@ -379,6 +388,14 @@ def hyperplane_pairs(spark, sf_dir):
     return hyperplanes.similar(_read(spark, sf_dir, "documents")).withColumn("similarity", F.round("similarity", 6))
 
 
+_BAGS = f"bags AS (SELECT doc_id, list_sort(list_filter(string_split_regex({_NORM}, ' +'), lambda x: x <> '')) AS bag FROM documents), firsts AS (SELECT bag, min(doc_id) AS rep, count(*) AS n FROM bags GROUP BY bag)"
+
+
+@query(f"WITH {_WEIGHTS}, {_BAGS}, pr AS ({ORACLES['hyperplane_pairs']}), {_LINKED}, z AS (SELECT DISTINCT doc_id FROM w) SELECT bags.doc_id, f.rep, CASE WHEN z.doc_id IS NULL THEN 0 ELSE f.n - 1 + coalesce(m.n, 0) END::BIGINT AS n_links FROM bags JOIN firsts f USING (bag) LEFT JOIN z ON z.doc_id = bags.doc_id LEFT JOIN m ON m.rep = f.rep")
+def hyperplane_members(spark, sf_dir):
+    return hyperplanes.members(_read(spark, sf_dir, "documents"))
+
+
 # Recommendation
 @query(f"""WITH {_RATINGS}, c AS (SELECT *, rating - avg(rating) OVER (PARTITION BY "user") AS c FROM r), n AS (SELECT item, sqrt(sum(c * c)) AS norm FROM c GROUP BY 1 HAVING norm > 0),
 u AS (SELECT "user", item, c / norm AS c FROM c JOIN n USING (item)), p AS (SELECT a.item, b.item AS other, round(sum(a.c * b.c), 9) AS s FROM u a JOIN u b ON a."user" = b."user" AND a.item <= 1000 AND b.item > 1000 GROUP BY ALL),
