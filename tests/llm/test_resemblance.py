@@ -42,3 +42,10 @@ def test_keeps_one_of_each_group_of_likeness_four_fifths(spark):
     got = sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect())
     assert got == sorted({100 + r for r in roots})
     assert resemblance.keep_one(docs.filter("false")).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    docs = spark.createDataFrame([(5, x), (7, x), (5, y), (3, y), (5, x), (None, x)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, x), (3, y), (None, x)], key=str)
