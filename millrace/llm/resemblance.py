@@ -27,6 +27,8 @@ BUCKET, HUBS, HUB_ROUNDS = 16, 3, 2
 #: Shingles held to be common: in at least COMMON of the documents of a sample, at most MOST_COMMON. They only affect speed.
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000
 _MAPS = ["m0", "m1", "m2", "m3"]
+#: Bits of the wider parities that candidate pairs are held against before their sets are.
+WIDE = 4096
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -54,9 +56,9 @@ def keys(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate((found[~last], found[last]))[: n - (4 * n + 4) // 5 + 1]
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """256 bits as four words: bit b is the parity of the shingles whose hash ends in b."""
-    return np.packbits(np.bincount(found & 255, minlength=256) & 1, bitorder="little").view(np.int64)
+def parities(found: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Words of 64 bits: bit b is the parity of the shingles whose hash ends in b."""
+    return np.packbits(np.bincount(found & (bits - 1), minlength=bits) & 1, bitorder="little").view(np.int64)
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -81,22 +83,23 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 
 def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, h, node, n, keys, m0..m3) of each row; node is the hash of its set of shingles."""
-    names = ["doc_id", "h", "node", "n", "keys", *_MAPS]
+    """(doc_id, h, node, n, keys, wide, m0..m3) of each row; node is the hash of its set of shingles."""
+    names = ["doc_id", "h", "node", "n", "keys", "wide", *_MAPS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, firsts, maps = [], [], [], []
+            nodes, sizes, firsts, wide, maps = [], [], [], [], []
             for x in batch.column(2):
                 found = shingles(x.as_py())
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 firsts.append(keys(found, common))
+                wide.append(parities(found, WIDE))
                 maps.append(parities(found))
             maps = np.array(maps, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), *[pa.array(maps[:, k].copy()) for k in range(4)]], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), *[pa.array(maps[:, k].copy()) for k in range(4)]], names)
 
-    return texts.mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, h bigint, node bigint, n int, keys array<bigint>, " + ", ".join(f"{m} bigint" for m in _MAPS))
+    return texts.mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, h bigint, node bigint, n int, keys array<bigint>, wide array<bigint>, " + ", ".join(f"{m} bigint" for m in _MAPS))
 
 
 def _near() -> Column:
@@ -126,7 +129,10 @@ def _hub_pairs(live: DataFrame, turn: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a likeness of 4/5 or more."""
-    pairs = materialize(pairs, "pairs")
+    of = lambda c, w, n: nodes.select(F.col("node").alias(c), F.col("wide").alias(w), F.col("n").alias(n))
+    apart = F.aggregate(F.zip_with("v", "w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    pairs = pairs.join(of("a", "v", "p"), "a").join(of("b", "w", "q"), "b").filter(9 * apart <= F.col("p") + F.col("q"))
+    pairs = materialize(pairs.select("a", "b"), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "h")
     sets = _sets(texts.join(asked.select("h"), "h", "left_semi").select("h", "text")).groupBy("h").agg(F.first("found").alias("found"))
     sets = materialize(sets.join(asked, "h").select("node", "found"), "sets")
@@ -140,7 +146,7 @@ def groups(documents: DataFrame) -> DataFrame:
     a Jaccard likeness of 0.8 or more of their shingles; a group is what links reach. Texts without words are one group."""
     texts = _texts(documents)
     each = materialize(_described(texts, _common(texts)), "described")
-    nodes = materialize(each.groupBy("node").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("keys").alias("keys"), *[F.first(m).alias(m) for m in _MAPS]), "nodes")
+    nodes = materialize(each.groupBy("node").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("wide").alias("wide"), *[F.first(m).alias(m) for m in _MAPS]), "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
     held = materialize(keyed.join(counts, "key").join(nodes.select("node", "n", *_MAPS), "node"), "held")
@@ -152,7 +158,7 @@ def groups(documents: DataFrame) -> DataFrame:
         else:
             live = crowded.join(found, crowded["node"] == F.col("__node"), "left").withColumn("component", F.coalesce("component", "node")).drop("__node")
             pairs = _hub_pairs(live, turn) if turn < HUB_ROUNDS else _all_pairs(live)
-        more = _verified(pairs, nodes.select("node", "h"), texts)
+        more = _verified(pairs, nodes.select("node", "h", "n", "wide"), texts)
         links = more if links is None else links.unionByName(more)
         found = materialize(components(links).withColumnRenamed("node", "__node"), "found")
     return each.select("doc_id", "h", "node").join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
