@@ -17,21 +17,48 @@ _BLANKS = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and all of Spark runs in
+    this one process is it a temporary folder of our own; on a cluster nobody else would see one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not _one_process(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and returns it as read from there: lineage ends here, and an executor that is
     lost later costs a reread, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, by whatever file system holds it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A materialize(df, name) whose tables are deleted at the end of the block; nothing read later may depend on them."""
+    top = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield lambda df, name: _written(df, f"{top}/{name}-{uuid.uuid4().hex}")
+    finally:
+        remove(spark, top)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,11 +95,20 @@ def crc_mod3(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0))
 
 
+_shipped: set[str] = set()
+
+
 def workers_find_us(spark: SparkSession) -> None:
-    """Lets Python workers import this library from where the driver did, where it isn't installed on them anyway."""
+    """Lets Python workers import this library: by path where they run beside the driver, else from an archive of it that
+    Spark hands to every executor."""
+    import shutil
     from pathlib import Path
 
     top = str(Path(__file__).resolve().parents[2])
-    have = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if top not in have.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{top}:{have}" if have else top
+    if _one_process(spark):
+        have = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if top not in have.split(":"):
+            spark.sparkContext.environment["PYTHONPATH"] = f"{top}:{have}" if have else top
+    elif spark.sparkContext.applicationId not in _shipped:
+        _shipped.add(spark.sparkContext.applicationId)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='millrace-')}/millrace", "zip", top, Path(__file__).resolve().parents[1].name))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,21 +22,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """(node, component) for every node of links (a, b): component is the smallest node that it reaches.
 
-    Each round is written to the shared folder. The rounds end when links no longer change, after about log(n) rounds."""
-    edges = materialize(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    seen = mark(edges)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
-        edges = materialize(_star(_star(edges, True), False), "links")
-        seen, before = mark(edges), seen
-        if seen == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    Each round is written to the shared folder, the rounds before are deleted at the end. A round that changes nothing ends
+    it. Every round that changes links moves one at least to a smaller end, so that it ends; it takes about log(n) rounds."""
+    with scratch(links.sparkSession) as cut:
+        edges = cut(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        seen, before = mark(edges), None
+        while seen[0] and seen != before:
+            edges = cut(_star(_star(edges, True), False), "links")
+            seen, before = mark(edges), seen
+        roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return keep(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")

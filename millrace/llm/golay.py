@@ -9,7 +9,7 @@ at most 2 bits: a key of an exact segment and one codeword index of the next fin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import materialize, scratch, tidy
 from .components import components
 
 #: Generator polynomial of the code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -88,10 +88,15 @@ def simhash(text: str | None, width: int = 3) -> int:
     begins = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins[: len(ws) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, len(ws) - width + 1)
+    return majority(h)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of unsigned hashes: a bit is set if it is set in over half of them."""
     total = np.zeros(64, np.int64)
-    for k in range(0, len(h), 65_536):
-        total += np.unpackbits(h[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
+    for k in range(0, len(hashes), 65_536):
+        total += np.unpackbits(hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
@@ -118,13 +123,13 @@ def _keyed(prints: DataFrame) -> DataFrame:
     return prints.select("rep", "print").mapInArrow(lambda b: tidy(run(b)), "rep bigint, print bigint, key bigint")
 
 
-def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def links(prints: DataFrame, bucket: int = BUCKET, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """(a, b): links that join all distinct (rep, print) within DISTANCE bits as whole groups. Small groups of a key give
     their verified pairs. Members of larger ones are tied to the smallest rep among those that share a neighbour at one
     bit or less with them: two fingerprints share one exactly if they differ in at most 2 bits."""
     keyed = _keyed(prints)
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    held = materialize(keyed.join(counts, "key"), "keyed")
+    held = keep(keyed.join(counts, "key"), "keyed")
     small = held.filter(F.col("n") <= bucket)
     other = small.select("key", F.col("rep").alias("rep2"), F.col("print").alias("print2"))
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= DISTANCE
@@ -144,23 +149,10 @@ def near_duplicates(documents: DataFrame, width: int = 3, bucket: int = BUCKET)
     included. Texts without words, null ones too, have fingerprint 0 and link like any other. Copies share a fingerprint
     and are one node from then on, so a group of copies costs no pairs. A row with a null id keeps its fingerprint and
     takes the component of its equals, if one of them has an id, else null. Empty tables give no rows."""
-    each = materialize(fingerprints(documents, width), "prints")
-    prints = materialize(each.groupBy("print").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(prints.filter(F.col("rep").isNotNull()), bucket))
-    labels = prints.join(found, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    return each.join(labels, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """documents without the rows that are not the first (smallest doc_id) of their group; rows with a null id stay, of
-    rows that repeat a kept id one stays."""
-    from pyspark.sql.window import Window
-
-    found = near_duplicates(documents, **options)
-    drop = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__drop")).distinct()
-    repeated = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter(F.col("count") > 1)
-    kept = documents.join(drop, documents["doc_id"] == F.col("__drop"), "left_anti")
-    if repeated.limit(1).count():
-        ranked = kept.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-        kept = ranked.filter(F.col("doc_id").isNull() | (F.col("__r") == 1)).drop("__r")
-    return kept
+    with scratch(documents.sparkSession) as cut:
+        each = cut(fingerprints(documents, width), "prints")
+        prints = cut(each.groupBy("print").agg(F.min("doc_id").alias("rep")), "distinct")
+        found = components(links(prints.filter(F.col("rep").isNotNull()), bucket, cut), cut)
+        labels = prints.join(found, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+        made = each.join(labels, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+        return materialize(made, "near_duplicates")

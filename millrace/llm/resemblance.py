@@ -1,14 +1,17 @@
-"""Near-duplicates by the true Jaccard likeness of word shingles, found whole by prefix filtering.
-
-Whatever the order of all shingles, two sets of likeness 0.8 or more share one of the first n - ceil(0.8 n) + 1 of each: a
-key of one such shingle finds every pair. Common shingles come last in the order, which keeps groups of a key small. The
-parities of shingles in 256 bits differ in at most as many bits as the sets in members, so that they rule out pairs
-without a miss; what is left is compared shingle by shingle. Shingles and sets are known by 64-bit hashes.
+"""Near-duplicates by the true Jaccard likeness of word shingles, whole.
+
+Fingerprints come first: texts whose SimHashes share a Golay key and lie within 2 bits are compared, and what is alike is
+linked. That can't be all, as texts of likeness 0.8 mostly differ in 3 to 11 of 64 bits, where Golay keys tell little apart.
+The rest is found by prefix filtering. Whatever the order of all shingles, two sets of likeness 0.8 or more share one of the
+first n - ceil(0.8 n) + 1 of each: a key of one such shingle finds every pair. Common shingles come last in the order, which
+keeps groups of a key small. The parities of shingles in 256 bits differ in at most as many bits as the sets in members, so
+that they rule out pairs without a miss; what is left is compared shingle by shingle. Shingles and sets are known by 64-bit
+hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from . import golay
+from .common import materialize, scratch, tidy
 from .components import components
+from .golay import majority
 
 WIDTH = 5
 #: The least likeness of a link is 4/5; all tests of it are in whole numbers.
@@ -67,13 +72,14 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(h, found): each text's shingles."""
+    """(h, found, wide): each text's shingles and their wider parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()) for x in batch.column(1)], pa.list_(pa.int64()))], ["h", "found"])
+            made = [shingles(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64())), pa.array([parities(x, WIDE) for x in made], pa.list_(pa.int64()))], ["h", "found", "wide"])
 
-    return texts.select("h", "text").mapInArrow(lambda b: tidy(run(b)), "h bigint, found array<bigint>")
+    return texts.select("h", "text").mapInArrow(lambda b: tidy(run(b)), "h bigint, found array<bigint>, wide array<bigint>")
 
 
 def _common(texts: DataFrame) -> np.ndarray:
@@ -83,23 +89,23 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 
 def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, h, node, n, keys, wide, m0..m3) of each row; node is the hash of its set of shingles."""
-    names = ["doc_id", "h", "node", "n", "keys", "wide", *_MAPS]
+    """(doc_id, h, node, n, print, keys, m0..m3) of each row; node is the hash of its set of shingles, print their SimHash."""
+    names = ["doc_id", "h", "node", "n", "print", "keys", *_MAPS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, firsts, wide, maps = [], [], [], [], []
+            nodes, sizes, prints, firsts, maps = [], [], [], [], []
             for x in batch.column(2):
                 found = shingles(x.as_py())
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
+                prints.append(majority(found.view(np.uint64)))
                 firsts.append(keys(found, common))
-                wide.append(parities(found, WIDE))
                 maps.append(parities(found))
             maps = np.array(maps, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), *[pa.array(maps[:, k].copy()) for k in range(4)]], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(firsts, pa.list_(pa.int64())), *[pa.array(maps[:, k].copy()) for k in range(4)]], names)
 
-    return texts.mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, h bigint, node bigint, n int, keys array<bigint>, wide array<bigint>, " + ", ".join(f"{m} bigint" for m in _MAPS))
+    return texts.mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, h bigint, node bigint, n int, print bigint, keys array<bigint>, " + ", ".join(f"{m} bigint" for m in _MAPS))
 
 
 def _near() -> Column:
@@ -127,53 +133,63 @@ def _hub_pairs(live: DataFrame, turn: int) -> DataFrame:
     return _pairs(hubs, live)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a likeness of 4/5 or more."""
-    of = lambda c, w, n: nodes.select(F.col("node").alias(c), F.col("wide").alias(w), F.col("n").alias(n))
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The pairs (a, b) whose sets have a likeness of 4/5 or more. Only sets that a pair asks for are made again from their
+    texts, and only those of pairs that the wider parities leave are shuffled."""
+    pairs = cut(pairs, "pairs")
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h", "n"), "node"), "asked")
+    sets = _sets(texts.join(asked.select("h"), "h", "left_semi").select("h", "text"))
+    sets = cut(sets.groupBy("h").agg(F.first("found").alias("found"), F.first("wide").alias("wide")).join(asked, "h").select("node", "n", "wide", "found"), "sets")
+    of = lambda c, w, n: sets.select(F.col("node").alias(c), F.col("wide").alias(w), F.col("n").alias(n))
     apart = F.aggregate(F.zip_with("v", "w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    pairs = pairs.join(of("a", "v", "p"), "a").join(of("b", "w", "q"), "b").filter(9 * apart <= F.col("p") + F.col("q"))
-    pairs = materialize(pairs.select("a", "b"), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "h")
-    sets = _sets(texts.join(asked.select("h"), "h", "left_semi").select("h", "text")).groupBy("h").agg(F.first("found").alias("found"))
-    sets = materialize(sets.join(asked, "h").select("node", "found"), "sets")
+    pairs = cut(pairs.join(of("a", "v", "p"), "a").join(of("b", "w", "q"), "b").filter(9 * apart <= F.col("p") + F.col("q")).select("a", "b"), "likely")
     side = lambda c, s: sets.select(F.col("node").alias(c), F.col("found").alias(s))
     both = F.size(F.array_intersect("x", "y"))
-    return materialize(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "links")
+    return cut(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "links")
+
+
+def _fingerprint_pairs(nodes: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(a, b): nodes whose fingerprints are equal, each with the first of them, and firsts whose fingerprints Golay keys
+    bring together within 2 bits."""
+    some = nodes.filter(F.col("n") > 0).select("node", "print")
+    firsts = cut(some.groupBy("print").agg(F.min("node").alias("rep")), "prints")
+    equal = some.join(firsts, "print").filter(F.col("node") != F.col("rep")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = golay.links(firsts, keep=cut).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.unionByName(near).distinct()
 
 
 def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, h, component): one row per row of documents, with the 64-bit hash of its text and its group. Texts link at
     a Jaccard likeness of 0.8 or more of their shingles; a group is what links reach. Texts without words are one group."""
     texts = _texts(documents)
-    each = materialize(_described(texts, _common(texts)), "described")
-    nodes = materialize(each.groupBy("node").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("wide").alias("wide"), *[F.first(m).alias(m) for m in _MAPS]), "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
-    held = materialize(keyed.join(counts, "key").join(nodes.select("node", "n", *_MAPS), "node"), "held")
-    single = held.withColumn("component", F.col("node"))
-    crowded, links = held.filter(F.col("members") > BUCKET), None
-    for turn in range(HUB_ROUNDS + 1):
-        if turn == 0:
-            pairs = _all_pairs(single.filter(F.col("members") <= BUCKET)).unionByName(_hub_pairs(single.filter(F.col("members") > BUCKET), 0)).distinct()
-        else:
-            live = crowded.join(found, crowded["node"] == F.col("__node"), "left").withColumn("component", F.coalesce("component", "node")).drop("__node")
-            pairs = _hub_pairs(live, turn) if turn < HUB_ROUNDS else _all_pairs(live)
-        more = _verified(pairs, nodes.select("node", "h", "n", "wide"), texts)
-        links = more if links is None else links.unionByName(more)
-        found = materialize(components(links).withColumnRenamed("node", "__node"), "found")
-    return each.select("doc_id", "h", "node").join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
+    with scratch(documents.sparkSession) as cut:
+        each = cut(_described(texts, _common(texts)), "described")
+        nodes = cut(each.groupBy("node").agg(F.min("h").alias("h"), *[F.min(c).alias(c) for c in ("n", "print", *_MAPS)]), "nodes")
+        links = _verified(_fingerprint_pairs(nodes, cut), nodes, texts, cut)
+        keyed = cut(each.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key")), "keyed")
+        counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
+        held = cut(keyed.join(counts, "key").join(nodes.select("node", "n", *_MAPS), "node"), "held")
+        for turn in range(HUB_ROUNDS + 1):
+            found = cut(components(links, cut).withColumnRenamed("node", "__node"), "found")
+            live = held.join(found, held["node"] == F.col("__node"), "left").withColumn("component", F.coalesce("component", "node")).drop("__node")
+            crowded = live.filter(F.col("members") > BUCKET)
+            pairs = _hub_pairs(crowded, turn) if turn < HUB_ROUNDS else _all_pairs(crowded)
+            if turn == 0:
+                pairs = pairs.unionByName(_all_pairs(live.filter(F.col("members") <= BUCKET))).distinct()
+            links = links.unionByName(_verified(pairs, nodes, texts, cut))
+        found = components(links, cut).withColumnRenamed("node", "__node")
+        return materialize(each.select("doc_id", "h", "node").join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "h", F.coalesce("component", "node").alias("component")), "groups")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """documents with one row of each group: that of the smallest doc_id and, among rows that repeat it, of the smallest
-    hash of the text. Rows with a null id stay."""
-    from pyspark.sql.window import Window
-
-    rows = materialize(groups(documents).filter(F.col("doc_id").isNotNull()), "groups")
-    chosen = rows.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
-    own = F.xxhash64(F.col("text").cast("string"))
-    kept = documents.join(chosen, (documents["doc_id"] == F.col("__id")) & (own == F.col("__h")), "left_semi")
-    if rows.groupBy("doc_id", "h").count().filter(F.col("count") > 1).limit(1).count():
-        ranked = kept.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.lit(0))))
-        kept = ranked.filter(F.col("__r") == 1).drop("__r")
-    return kept.unionByName(documents.filter(F.col("doc_id").isNull()))
+    hash of the text; of rows that are equal in both, any one. Rows with a null id stay, each.
+
+    Null, empty and blank texts are alike. Whole texts count, however long. Other columns stay as they are; names that begin
+    with __kept_ are this function's own. Texts are shuffled once: what is made distinct is so by the keys of the join."""
+    rows = groups(documents).filter(F.col("doc_id").isNotNull())
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    chosen = materialize(first.select(F.col("first.doc_id").alias("__kept_id"), F.col("first.h").alias("__kept_h")), "chosen")
+    own = documents.withColumns({"__kept_row": F.col("doc_id").cast("bigint"), "__kept_own": F.xxhash64(F.col("text").cast("string"))})
+    kept = own.join(chosen, (F.col("__kept_row") == F.col("__kept_id")) & (F.col("__kept_own") == F.col("__kept_h")), "left_semi").dropDuplicates(["__kept_row", "__kept_own"])
+    return kept.select(*[F.col(f"`{c}`") for c in documents.columns]).unionByName(documents.filter(F.col("doc_id").isNull()))
