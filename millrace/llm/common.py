@@ -84,8 +84,11 @@ def tidy(batches: Iterator) -> Iterator:
     import ctypes
     import gc
 
+    import pyarrow as pa
+
     yield from batches
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

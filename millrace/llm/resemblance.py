@@ -166,19 +166,26 @@ def groups(documents: DataFrame) -> DataFrame:
         each = cut(_described(texts, _common(texts)), "described")
         nodes = cut(each.groupBy("node").agg(F.min("h").alias("h"), *[F.min(c).alias(c) for c in ("n", "print", *_MAPS)]), "nodes")
         links = _verified(_fingerprint_pairs(nodes, cut), nodes, texts, cut)
-        keyed = cut(each.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key")), "keyed")
-        counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
-        held = cut(keyed.join(counts, "key").join(nodes.select("node", "n", *_MAPS), "node"), "held")
+        found = cut(components(links, cut).withColumnRenamed("node", "__node"), "found")
+        firsts = _placed(each.groupBy("node").agg(F.first("keys").alias("keys")), found)
+        keyed = cut(firsts.select("node", "component", F.explode("keys").alias("key")), "keyed")
+        spread = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi"))
+        held = keyed.select("node", "key").join(spread.select("key", "members"), "key")
+        held = cut(held.join(nodes.select("node", "n", *_MAPS), "node"), "held")
         for turn in range(HUB_ROUNDS + 1):
-            found = cut(components(links, cut).withColumnRenamed("node", "__node"), "found")
-            live = held.join(found, held["node"] == F.col("__node"), "left").withColumn("component", F.coalesce("component", "node")).drop("__node")
+            live = _placed(held, found)
             crowded = live.filter(F.col("members") > BUCKET)
             pairs = _hub_pairs(crowded, turn) if turn < HUB_ROUNDS else _all_pairs(crowded)
             if turn == 0:
                 pairs = pairs.unionByName(_all_pairs(live.filter(F.col("members") <= BUCKET))).distinct()
             links = links.unionByName(_verified(pairs, nodes, texts, cut))
-        found = components(links, cut).withColumnRenamed("node", "__node")
-        return materialize(each.select("doc_id", "h", "node").join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "h", F.coalesce("component", "node").alias("component")), "groups")
+            found = cut(components(links, cut).withColumnRenamed("node", "__node"), "found")
+        return materialize(_placed(each.select("doc_id", "h", "node"), found).select("doc_id", "h", "component"), "groups")
+
+
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the component of their node; a node that nothing links is one by itself."""
+    return rows.join(found, rows["node"] == found["__node"], "left").withColumn("component", F.coalesce("component", "node")).drop("__node")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:

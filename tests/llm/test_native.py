@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -70,12 +73,53 @@ def test_redaction(docs):
     assert secrets.redact(docs).columns == docs.columns
 
 
-def test_entropy_is_that_of_the_best_window(spark):
-    import math
+def entropy_of(s, n=24):
+    return max(sum(-k / n * math.log2(k / n) for k in Counter(s[a : a + n]).values()) for a in range(len(s) - n + 1))
+
 
+def test_entropy_is_that_of_the_best_window(spark):
     for s in ("ab" * 20, KEY, "k3Jd9fQ0x+Lz7VbT2mWq8RsY5uPa1HcN"):
-        want = max(sum(-n / 24 * math.log2(n / 24) for n in Counter(s[k : k + 24]).values()) for k in range(len(s) - 23))
-        assert abs(spark.range(1).select(secrets.best_entropy(F.lit(s))).first()[0] - want) < 1e-9
+        assert abs(spark.range(1).select(secrets.best_entropy(F.lit(s))).first()[0] - entropy_of(s)) < 1e-9
+
+
+def all_spans(t):
+    """Base spans and, where none overlaps, candidates of a class whose best window has the class's entropy."""
+    base = [(int(a), secrets.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in base_spans(t)[0].split(",") if x)]
+    more = {(m.start(), 3, m.end()) for _, p, least in secrets.CLASSES for m in re.finditer(p, t) if not re.search(secrets.ALLOWED, m[0]) and entropy_of(m[0]) >= least}
+    more = [e for e in more if not any(b[0] < e[2] and e[0] < b[2] for b in base)]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
+
+
+def planted():
+    """(text, where a secret without a keyword was put, or None) among prose, paths, names and numbers."""
+    rng = random.Random(8)
+    words_ = "the of and station river letter paper winter gardens InternationalizationSupport under_scored_identifier_names https://www.example.com/news/2024/winter/gardens-and-rivers 2024-01-01 3.14159 1234567890123456789012345 aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa".split()
+    kinds = {"base64": (string.ascii_letters + string.digits + "+/", 40), "base36": (string.ascii_lowercase + string.digits, 32), "upper": (string.ascii_uppercase + string.digits, 32), "hexa": ("0123456789ABCDEF", 40)}
+    for k in range(400):
+        ws = [rng.choice(words_) for _ in range(rng.randrange(5, 60))]
+        if k % 2:
+            alphabet, n = kinds[rng.choice(list(kinds))]
+            secret, at = "".join(rng.choice(alphabet) for _ in range(n)), rng.randrange(len(ws))
+            begin = len(" ".join([*ws[:at], ""]))
+            yield " ".join([*ws[:at], secret, *ws[at:]]), (begin, begin + n)
+        else:
+            yield " ".join(ws), None
+
+
+def test_planted_secrets_without_keywords(spark):
+    made = [*planted(), ("x " * 3 + " ".join([KEY] * 700), None), ("🙂é" + KEY.upper() + " ", None)]
+    docs = spark.createDataFrame([(i, t, "b", "s") for i, (t, _) in enumerate(made)], "doc_id long, text string, __base string, __spans string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert all(got[i] == all_spans(t) for i, (t, _) in enumerate(made))
+    asked = [i for i, (_, at) in enumerate(made) if at]
+    assert sum(f"entropy:{made[i][1][0]}:{made[i][1][1]}" in got[i] for i in asked) / len(asked) >= 0.95
+    assert not any("entropy" in got[i] for i, (_, at) in enumerate(made[:400]) if not at)
+    kept = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    for i, (t, _) in enumerate(made):
+        ends, out, p = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x], "", 0
+        for a, b in ends:
+            out, p = out + (t[p:a] + "[SECRET]" if a >= p else ""), max(p, b)
+        assert kept[i]["text"] == out + t[p:] and kept[i]["__base"] == "b"
 
 
 def test_mix_meets_targets(spark):
