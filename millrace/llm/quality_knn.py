@@ -62,7 +62,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         sum(map(eq, ws, ws[1:])) / pairs,
         1 - len(set(zip(ws, ws[1:], ws[2:], strict=False))) / max(n - 2, 1) if n > 2 else 0.0,
         1 - len(set(lines)) / max(len(lines), 1),
-        sum(map(str.isalpha, text)) / max(len(text), 1) if len(text) < 200_000 else sum(c.isalpha() for c in text) / len(text),
+        sum(map(str.isalpha, text)) / max(len(text), 1),
     )
     base = WORDS + SHAPES
     marks = [base + k * 16 + min(15, int(r * 16)) for k, r in enumerate(ratios)]
@@ -72,11 +72,10 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((index, marks)), np.concatenate((weight, np.ones(len(marks))))
 
 
-def rows_of(texts: list[str], idf: np.ndarray) -> np.ndarray:
+def rows_of(bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
     """Dense tf-idf rows; words, shapes and marks are scaled to length 0.7, 1 and 0.7 each, so that none drowns the others."""
-    out = np.zeros((len(texts), len(idf)), np.float32)
-    for k, text in enumerate(texts):
-        index, weight = features(text)
+    out = np.zeros((len(bags), len(idf)), np.float32)
+    for k, (index, weight) in enumerate(bags):
         out[k, index] = weight * idf[index]
     for a, b, size in ((0, WORDS, 0.7), (WORDS, WORDS + SHAPES, 1.0), (WORDS + SHAPES, len(idf), 0.7)):
         part = out[:, a:b]
@@ -108,23 +107,23 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
 
-def fit(texts: list[str], labels: np.ndarray, rank: int = RANK) -> Model:
-    width = WORDS + SHAPES + MARKS
-    seen = np.zeros(width)
-    for text in texts:
-        seen[np.unique(features(text)[0])] += 1
-    idf = np.log((1 + len(texts)) / (1 + seen)) + 0.1
-    x = rows_of(texts, idf)
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = RANK) -> Model:
+    seen = np.zeros(WORDS + SHAPES + MARKS)
+    for index, _ in bags:
+        seen[np.unique(index)] += 1
+    idf = np.log((1 + len(bags)) / (1 + seen)) + 0.1
+    x = rows_of(bags, idf)
     space = svd_space(x, min(rank, *x.shape))
     return Model(idf, space, _unit(x @ space).astype(np.float32), labels.astype(np.float32), float(labels.mean()))
 
 
 def vote(model: Model, texts: list[str], neighbours: int = NEIGHBOURS, rows: int = ROWS) -> np.ndarray:
-    """Scores from 0 to 1. Each block of documents meets every labelled vector."""
+    """Scores from 0 to 1. Each block of documents meets every labelled vector. Of labelled vectors that are equally near at
+    the last place, any may vote; all that are counted weigh by their cosine, so that equals weigh alike."""
     out = np.empty(len(texts))
     k = min(neighbours, len(model.vectors))
     for at in range(0, len(texts), rows):
-        z = _unit(rows_of(texts[at : at + rows], model.idf) @ model.space)
+        z = _unit(rows_of([features(t) for t in texts[at : at + rows]], model.idf) @ model.space)
         cosine = z @ model.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-3).astype(np.float64) ** SHARP
@@ -133,18 +132,32 @@ def vote(model: Model, texts: list[str], neighbours: int = NEIGHBOURS, rows: int
 
 
 def learn(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """A model from at most 2 * per_class labelled rows outside the held-out third; None if there are none of them."""
-    sample = labelled_sample(documents, labels, "quality", crc_mod3(F.col("doc_id")) != 1, per_class).orderBy("doc_id").select("text", "quality").toArrow()
-    if not sample.num_rows:
+    """A model from at most 2 * per_class labelled rows outside the held-out third; None if there are none of them. Texts
+    become bags of features where they lie; the driver sees at most WORDS + SHAPES + MARKS numbers for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [features(x) for x in batch.column(1).to_pylist()]
+            kinds = ((0, pa.int16()), (1, pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([b[k] for b in bags], pa.list_(kind)) for k, kind in kinds)], ["doc_id", "quality", "places", "weights"])
+
+    sample = labelled_sample(documents, labels, "quality", crc_mod3(F.col("doc_id")) != 1, per_class).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality"))
+    table = sample.mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, quality int, places array<smallint>, weights array<float>").orderBy("doc_id").toArrow()
+    if not table.num_rows:
         return None
-    return fit(sample.column("text").to_pylist(), np.array(sample.column("quality").to_pylist(), np.float64))
+    flat = lambda c: (table.column(c).combine_chunks().flatten().to_numpy(), table.column(c).combine_chunks().offsets.to_numpy())
+    (places, ends), (weights, _) = flat("places"), flat("weights")
+    ends = ends - ends[0]
+    bags = [(places[a:b].astype(np.int64), weights[a:b].astype(np.float64)) for a, b in zip(ends, ends[1:], strict=False)]
+    return fit(bags, table.column("quality").to_numpy().astype(np.float64))
 
 
 def score(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of documents.
 
     Null and empty texts are scored by what their marks are near to. Without any labelled row to learn from, every score
-    is 0.5. A null id is not held out. Rows that repeat are scored each; other columns are ignored."""
+    is 0.5. A null id is not held out. Rows that repeat are scored each, whole texts count, and other columns are ignored. An
+    empty table gives no rows."""
     model = learn(documents, labels, per_class)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

@@ -5,8 +5,9 @@ linked. That can't be all, as texts of likeness 0.8 mostly differ in 3 to 11 of
 The rest is found by prefix filtering. Whatever the order of all shingles, two sets of likeness 0.8 or more share one of the
 first n - ceil(0.8 n) + 1 of each: a key of one such shingle finds every pair. Common shingles come last in the order, which
 keeps groups of a key small. The parities of shingles in 256 bits differ in at most as many bits as the sets in members, so
-that they rule out pairs without a miss; what is left is compared shingle by shingle. Shingles and sets are known by 64-bit
-hashes.
+that they rule out pairs without a miss. Parities in 2048 bits then rule out more, and settle what is so alike that sets too
+far apart would show it with a chance of under 1e-9; the rest is compared shingle by shingle. Shingles and sets are known by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ BUCKET, HUBS, HUB_ROUNDS = 16, 3, 2
 #: Shingles held to be common: in at least COMMON of the documents of a sample, at most MOST_COMMON. They only affect speed.
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000
 _MAPS = ["m0", "m1", "m2", "m3"]
-#: Bits of the wider parities that candidate pairs are held against before their sets are.
-WIDE = 4096
+#: Bits of the wider parities that candidate pairs are held against before their sets are, and how sure these must be: so
+#: many standard deviations, and then so many bits, below what the least difference that is too much would show.
+WIDE, DEVIATIONS, SPARE = 2048, 8.0, 8.0
+#: log2 of the bits of the map by which rows are chosen before they are shuffled; it has at most 2^(MAP_BITS - 6) words.
+MAP_BITS = 26
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -72,14 +76,13 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(h, found, wide): each text's shingles and their wider parities."""
+    """(h, found): each text's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64())), pa.array([parities(x, WIDE) for x in made], pa.list_(pa.int64()))], ["h", "found", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()) for x in batch.column(1)], pa.list_(pa.int64()))], ["h", "found"])
 
-    return texts.select("h", "text").mapInArrow(lambda b: tidy(run(b)), "h bigint, found array<bigint>, wide array<bigint>")
+    return texts.select("h", "text").mapInArrow(lambda b: tidy(run(b)), "h bigint, found array<bigint>")
 
 
 def _common(texts: DataFrame) -> np.ndarray:
@@ -89,23 +92,24 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 
 def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, h, node, n, print, keys, m0..m3) of each row; node is the hash of its set of shingles, print their SimHash."""
-    names = ["doc_id", "h", "node", "n", "print", "keys", *_MAPS]
+    """(doc_id, h, node, n, print, keys, wide, m0..m3) of each row; node is the hash of its set of shingles, print their SimHash."""
+    names = ["doc_id", "h", "node", "n", "print", "keys", "wide", *_MAPS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prints, firsts, maps = [], [], [], [], []
+            nodes, sizes, prints, firsts, wide, maps = [], [], [], [], [], []
             for x in batch.column(2):
                 found = shingles(x.as_py())
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 prints.append(majority(found.view(np.uint64)))
                 firsts.append(keys(found, common))
+                wide.append(parities(found, WIDE))
                 maps.append(parities(found))
             maps = np.array(maps, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(firsts, pa.list_(pa.int64())), *[pa.array(maps[:, k].copy()) for k in range(4)]], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(firsts, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), *[pa.array(maps[:, k].copy()) for k in range(4)]], names)
 
-    return texts.mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, h bigint, node bigint, n int, print bigint, keys array<bigint>, " + ", ".join(f"{m} bigint" for m in _MAPS))
+    return texts.mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, h bigint, node bigint, n int, print bigint, keys array<bigint>, wide array<bigint>, " + ", ".join(f"{m} bigint" for m in _MAPS))
 
 
 def _near() -> Column:
@@ -133,19 +137,48 @@ def _hub_pairs(live: DataFrame, turn: int) -> DataFrame:
     return _pairs(hubs, live)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """The pairs (a, b) whose sets have a likeness of 4/5 or more. Only sets that a pair asks for are made again from their
-    texts, and only those of pairs that the wider parities leave are shuffled."""
+def _among(rows: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """rows whose hash in column `name` may be among asked's: all that are, and a few others. A map of bits tells, so that
+    what nobody asks for isn't shuffled; its size has a fixed bound, beyond some millions of hashes it just tells less."""
+    slot = f"({name} & {(1 << MAP_BITS) - 1}L)"
+    bit = f"shiftleft(1L, cast({slot} & 63 as int))"
+    words = asked.select(F.expr(f"shiftright({slot}, 6)").alias("__word"), F.expr(bit).alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    found = rows.withColumn("__at", F.expr(f"shiftright({slot}, 6)")).join(F.broadcast(words), F.col("__at") == F.col("__word"))
+    return found.filter(F.expr(f"(__bits & {bit}) != 0")).drop("__at", "__word", "__bits")
+
+
+def _sure(apart: Column, n: Column) -> Column:
+    """Whether sets of n members together, whose wide parities are `apart` bits apart, can be held to be of likeness 4/5. The
+    least difference that is too much is n/9 and some; what number of odd places that many shingles leave has a known mean
+    and variance."""
+    m = float(WIDE)
+    least = (F.floor(n / 9) + 1).cast("double")
+    one, two = F.pow(F.lit(1 - 2 / m), least), F.pow(F.lit(1 - 4 / m), least)
+    odd = (1 - one) / 2
+    variance = m * odd + m * (m - 1) * (1 - 2 * one + two) / 4 - m * m * odd * odd
+    return apart <= m * odd - DEVIATIONS * F.sqrt(F.greatest(variance, F.lit(0.0))) - SPARE
+
+
+def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The pairs (a, b) whose sets have a likeness of 4/5 or more. Parities of the nodes that a pair asks for come from
+    `each`; sets, for the few pairs that these leave open, are made again from their texts."""
+    asking = lambda of: of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     pairs = cut(pairs, "pairs")
-    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h", "n"), "node"), "asked")
-    sets = _sets(texts.join(asked.select("h"), "h", "left_semi").select("h", "text"))
-    sets = cut(sets.groupBy("h").agg(F.first("found").alias("found"), F.first("wide").alias("wide")).join(asked, "h").select("node", "n", "wide", "found"), "sets")
-    of = lambda c, w, n: sets.select(F.col("node").alias(c), F.col("wide").alias(w), F.col("n").alias(n))
+    asked = cut(asking(pairs), "asked")
+    known = _among(each.select("node", "h", "n", "wide"), asked, "node").groupBy("node").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.first("wide").alias("wide"))
+    known = cut(known.join(asked, "node", "left_semi"), "known")
+    of = lambda c, w, n: known.select(F.col("node").alias(c), F.col("wide").alias(w), F.col("n").alias(n))
     apart = F.aggregate(F.zip_with("v", "w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    pairs = cut(pairs.join(of("a", "v", "p"), "a").join(of("b", "w", "q"), "b").filter(9 * apart <= F.col("p") + F.col("q")).select("a", "b"), "likely")
+    likely = pairs.join(of("a", "v", "p"), "a").join(of("b", "w", "q"), "b").select("a", "b", apart.alias("apart"), (F.col("p") + F.col("q")).alias("n"))
+    likely = cut(likely.filter(9 * F.col("apart") <= F.col("n")).select("a", "b", _sure(F.col("apart"), F.col("n")).alias("sure")), "likely")
+    open_ = likely.filter("not sure").select("a", "b")
+    asked = cut(asking(open_).join(known.select("node", "h"), "node"), "asked")
+    sets = _sets(_among(texts.select("h", "text"), asked, "h")).groupBy("h").agg(F.first("found").alias("found"))
+    sets = cut(sets.join(asked, "h").select("node", "found"), "sets")
     side = lambda c, s: sets.select(F.col("node").alias(c), F.col("found").alias(s))
     both = F.size(F.array_intersect("x", "y"))
-    return cut(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "links")
+    close = open_.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    return cut(likely.filter("sure").select("a", "b").unionByName(close), "links")
 
 
 def _fingerprint_pairs(nodes: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -165,7 +198,7 @@ def groups(documents: DataFrame) -> DataFrame:
     with scratch(documents.sparkSession) as cut:
         each = cut(_described(texts, _common(texts)), "described")
         nodes = cut(each.groupBy("node").agg(F.min("h").alias("h"), *[F.min(c).alias(c) for c in ("n", "print", *_MAPS)]), "nodes")
-        links = _verified(_fingerprint_pairs(nodes, cut), nodes, texts, cut)
+        links = _verified(_fingerprint_pairs(nodes, cut), each, texts, cut)
         found = cut(components(links, cut).withColumnRenamed("node", "__node"), "found")
         firsts = _placed(each.groupBy("node").agg(F.first("keys").alias("keys")), found)
         keyed = cut(firsts.select("node", "component", F.explode("keys").alias("key")), "keyed")
@@ -178,7 +211,7 @@ def groups(documents: DataFrame) -> DataFrame:
             pairs = _hub_pairs(crowded, turn) if turn < HUB_ROUNDS else _all_pairs(crowded)
             if turn == 0:
                 pairs = pairs.unionByName(_all_pairs(live.filter(F.col("members") <= BUCKET))).distinct()
-            links = links.unionByName(_verified(pairs, nodes, texts, cut))
+            links = links.unionByName(_verified(pairs, each, texts, cut))
             found = cut(components(links, cut).withColumnRenamed("node", "__node"), "found")
         return materialize(_placed(each.select("doc_id", "h", "node"), found).select("doc_id", "h", "component"), "groups")
 

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod3, tidy
 from .labelled import labelled_sample
 
-#: At most so many labelled documents of each class are learned from, and so many terms are kept for each category.
-PER_CLASS, TERMS = 4000, 400
+#: At most so many labelled documents of each class are learned from, and so many terms are kept for each category; where the
+#: sample is small, one term for every ROWS_A_TERM of its documents. Terms in one document alone say nothing.
+PER_CLASS, TERMS, ROWS_A_TERM, USES = 4000, 400, 4, 3
 FOLDS = 5
 RIDGE = 0.3
 #: The chain's categories, from the columns of labels.
@@ -120,9 +121,10 @@ def chain_scores(chain: Chain, present: list[list[int]]) -> np.ndarray:
 
 
 def learn(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, per_class: int = PER_CLASS, most_terms: int = TERMS, train_all: bool = True) -> Chain | None:
-    """The chain, from at most 2 * per_class labelled rows; None without any. train_all=False keeps the third of the ids
-    with crc32 modulo 3 equal to 1 out, to measure by."""
-    marked = labels.select("doc_id", *[F.coalesce(F.expr(rule), F.lit(False)).cast("int").alias(f"is_{name}") for name, rule in categories])
+    """The chain, from at most 2 * per_class labelled rows; None without any. Rows of labels whose categories a null leaves
+    open are not learned from. Terms are ranked by how far their use differs between a category and the rest, and the ridge
+    does the shrinking. train_all=False keeps the third of the ids with crc32 modulo 3 equal to 1 out, to measure by."""
+    marked = labels.select("doc_id", *[F.expr(rule).cast("int").alias(f"is_{name}") for name, rule in categories])
     names = [name for name, _ in categories]
     lead = "is_toxic" if "toxic" in names else f"is_{names[-1]}"
     where = F.lit(True) if train_all else crc_mod3(F.col("doc_id")) != 1
@@ -154,7 +156,8 @@ def learn(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, per_cl
         gap = a / own - (every - a) / (total - own)
         spread = (every / total) * (1 - every / total) * (1 / own + 1 / (total - own))
         z2 = F.when(spread > 0, gap * gap / spread).otherwise(0.0)
-        best = found.filter(F.col("`n-1`") >= 5).select("term", z2.alias("z2")).filter(F.col("z2") >= 40).orderBy(F.desc("z2"), "term").limit(most_terms)
+        most = max(1, min(most_terms, n_all[0] // ROWS_A_TERM))
+        best = found.filter(F.col("`n-1`") >= USES).select("term", z2.alias("z2")).orderBy(F.desc("z2"), "term").limit(most)
         terms |= {r["term"] for r in best.collect()}
     index = {t: k for k, t in enumerate(sorted(terms))}
 
@@ -174,39 +177,46 @@ def learn(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, per_cl
     return Chain(names, index, fit_chain(x, targets, folds))
 
 
-def _scored(documents: DataFrame, chain: Chain | None, names: list[str]) -> DataFrame:
-    """documents' columns with a probability for each category."""
-    shared = documents.sparkSession.sparkContext.broadcast(chain)
-    at = documents.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = shared.value
-        known = Known(chain.terms) if chain else None
-        for batch in batches:
-            if chain is None:
-                p = np.zeros((batch.num_rows, len(names)))
-            else:
-                p = chain_scores(chain, [known(x or "") for x in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, c]) for c in range(len(names)))], [*batch.schema.names, *(f"__p_{n}" for n in names)])
+def _probabilities(chain: Chain | None, known: Known | None, texts: list, width: int) -> np.ndarray:
+    return np.zeros((len(texts), width)) if chain is None else chain_scores(chain, [known(x or "") for x in texts])
 
-    from pyspark.sql import types as T
 
-    return documents.mapInArrow(lambda b: tidy(run(b)), T.StructType([*documents.schema.fields, *(T.StructField(f"__p_{n}", T.DoubleType()) for n in names)]))
+def _rejects(p: np.ndarray, names: list[str], limit: float) -> np.ndarray:
+    """Whether a category whose name begins with toxic is likelier than the limit."""
+    return (p[:, [k for k, n in enumerate(names) if n.startswith("toxic")]] > limit).any(axis=1)
 
 
 def score(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: float = LIMIT, **options) -> DataFrame:
     """doc_id, p_<category> for each, toxic: one row per row of documents. toxic: a category named toxic... is likelier
-    than the limit. Null and empty texts have no terms and take the intercepts' probabilities; without labelled rows every
-    probability is 0 and nothing is toxic."""
+    than the limit, and not only as likely. Null and empty texts have no terms and take the intercepts' probabilities;
+    without labelled rows every probability is 0 and nothing is toxic. Repeated rows are scored each, whole texts count, other
+    columns are ignored, and an empty table gives no rows."""
     names = [n for n, _ in categories]
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _scored(rows, learn(documents, labels, categories, **options), names)
-    return found.select("doc_id", *[F.col(f"__p_{n}").alias(f"p_{n}") for n in names], F.greatest(*[F.col(f"__p_{n}") for n in names if n.startswith("toxic")], F.lit(0.0)).__gt__(limit).alias("toxic"))
+    shared = documents.sparkSession.sparkContext.broadcast(learn(documents, labels, categories, **options))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = shared.value
+        known = Known(chain.terms) if chain else None
+        for batch in batches:
+            p = _probabilities(chain, known, batch.column(1).to_pylist(), len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c].copy()) for c in range(len(names))), pa.array(_rejects(p, names, limit))], ["doc_id", *(f"p_{n}" for n in names), "toxic"])
+
+    kind = ", ".join(["doc_id bigint", *(f"p_{n} double" for n in names), "toxic boolean"])
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda b: tidy(run(b)), kind)
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: float = LIMIT, **options) -> DataFrame:
-    """documents without the toxic ones, in one pass after the fit."""
+    """documents without the toxic ones, in one pass after the fit; all other columns stay as they are, whatever their names.
+    Null and empty texts are judged by the intercepts."""
     names = [n for n, _ in categories]
-    found = _scored(documents, learn(documents, labels, categories, **options), names)
-    toxic = F.greatest(*[F.col(f"__p_{n}") for n in names if n.startswith("toxic")], F.lit(0.0)) > limit
-    return found.filter(~toxic).select(*[F.col(f"`{c}`") for c in documents.columns])
+    shared = documents.sparkSession.sparkContext.broadcast(learn(documents, labels, categories, **options))
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = shared.value
+        known = Known(chain.terms) if chain else None
+        for batch in batches:
+            p = _probabilities(chain, known, batch.column(at).to_pylist(), len(names))
+            yield batch.filter(pa.array(~_rejects(p, names, limit)))
+
+    return documents.mapInArrow(lambda b: tidy(run(b)), documents.schema)

@@ -42,6 +42,31 @@ def test_host_rules(docs):
     assert host_rules.host_rules(docs.filter("false")).count() == 0
 
 
+def test_hosts_that_fail(spark):
+    """A bad host goes with its clean documents, a suspect one gives up those that fail its rule, others keep theirs."""
+    clean = " ".join(f"word{i}" for i in range(60))
+    marks = clean + " #" * 30
+    texts = lambda n, bad, t: [t] * bad + [clean] * (n - bad)
+    rows = [(f"h{k}", t) for k in range(12) for t in texts(50, 2, marks)] + [("suspect", t) for t in texts(50, 15, marks)] + [("bad", t) for t in texts(50, 48, "few words")] + [("tiny", "few words"), (None, clean)]
+    docs = spark.createDataFrame([(i, h, t, "clash") for i, (h, t) in enumerate(rows)], "doc_id long, source string, text string, kept string")
+    got = {r["doc_id"]: r for r in host_rules.host_rules(docs).collect()}
+    for i, (h, t) in enumerate(rows):
+        assert got[i]["kept"] == (t != "few words" and h != "bad" and not (h == "suspect" and t == marks)), (h, t)
+        assert got[i]["host_bad"] == (h == "bad") and (h != "suspect" or got[i]["suspect"] == "symbols")
+    # plain posteriors of one rule
+    failed = {h: [0, 0] for h in {h for h, _ in rows}}
+    for h, t in rows:
+        failed[h][0] += 1
+        failed[h][1] += 10 * t.count("#") > len(t.split())
+    shares = [f / n for n, f in failed.values() if n >= 2]
+    mean = sum(shares) / len(shares)
+    weight = min(max(mean * (1 - mean) / (sum((s - mean) ** 2 for s in shares) / len(shares)) - 1, 1), 1000)
+    for i, (h, _) in enumerate(rows):
+        n, f = failed[h]
+        rate = (f + mean * weight) / (n + weight)
+        assert ("symbols" in got[i]["suspect"]) == (rate - math.sqrt(rate * (1 - rate) / (n + weight + 1)) > mean)
+
+
 def test_beta_prior():
     a, b = host_rules.beta_prior(0.2, 0.01)
     assert abs(a / (a + b) - 0.2) < 1e-9 and abs(a + b - 15) < 1e-9
