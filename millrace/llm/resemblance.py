@@ -5,7 +5,7 @@ linked. That can't be all, as texts of likeness 0.8 mostly differ in 3 to 11 of
 The rest is found by prefix filtering. Whatever the order of all shingles, two sets of likeness 0.8 or more share one of the
 first n - ceil(0.8 n) + 1 of each: a key of one such shingle finds every pair. Common shingles come last in the order, which
 keeps groups of a key small. The parities of shingles in 256 bits differ in at most as many bits as the sets in members, so
-that they rule out pairs without a miss. Parities in 2048 bits then rule out more, and settle what is so alike that sets too
+that they rule out pairs without a miss. Wider parities then rule out more, and settle what is so alike that sets too
 far apart would show it with a chance of under 1e-9; the rest is compared shingle by shingle. Shingles and sets are known by
 64-bit hashes.
 """
@@ -33,9 +33,12 @@ BUCKET, HUBS, HUB_ROUNDS = 16, 3, 2
 #: Shingles held to be common: in at least COMMON of the documents of a sample, at most MOST_COMMON. They only affect speed.
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000
 _MAPS = ["m0", "m1", "m2", "m3"]
-#: Bits of the wider parities that candidate pairs are held against before their sets are, and how sure these must be: so
-#: many standard deviations, and then so many bits, below what the least difference that is too much would show.
-WIDE, DEVIATIONS, SPARE = 2048, 8.0, 8.0
+#: Candidate pairs are held against wider parities before their sets are: of 4 bits a shingle or more, a power of two up to
+#: MOST_WIDE. They settle a pair if they differ by so many standard deviations, and then so many bits, less than the least
+#: difference that is too much would show.
+LEAST_WIDE, MOST_WIDE, DEVIATIONS, SPARE = 256, 1 << 17, 8.0, 8.0
+#: Python hands over rows in batches of about so many numbers, as one set may be long.
+BATCH = 250_000
 #: log2 of the bits of the map by which rows are chosen before they are shuffled; it has at most 2^(MAP_BITS - 6) words.
 MAP_BITS = 26
 
@@ -70,6 +73,24 @@ def parities(found: np.ndarray, bits: int = 256) -> np.ndarray:
     return np.packbits(np.bincount(found & (bits - 1), minlength=bits) & 1, bitorder="little").view(np.int64)
 
 
+def wide(found: np.ndarray) -> np.ndarray:
+    """Parities in a power of two of bits that is 4 or more a shingle."""
+    return parities(found, min(MOST_WIDE, max(LEAST_WIDE, 1 << (4 * len(found) - 1).bit_length())) if len(found) else LEAST_WIDE)
+
+
+def _batches(rows: Iterator[tuple[list, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows, each of which comes with the numbers in it."""
+    held, size = [], 0
+    for row, n in rows:
+        held.append(row)
+        size += n
+        if size >= BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def _texts(documents: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -77,12 +98,15 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 def _sets(texts: DataFrame) -> DataFrame:
     """(h, found): each text's shingles."""
+    longs = pa.list_(pa.int64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, int]]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()) for x in batch.column(1)], pa.list_(pa.int64()))], ["h", "found"])
+            for h, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = shingles(text.as_py())
+                yield (h.as_py(), found), len(found) + 1
 
-    return texts.select("h", "text").mapInArrow(lambda b: tidy(run(b)), "h bigint, found array<bigint>")
+    return texts.select("h", "text").mapInArrow(lambda b: tidy(_batches(rows(b), pa.schema([("h", pa.int64()), ("found", longs)]))), "h bigint, found array<bigint>")
 
 
 def _common(texts: DataFrame) -> np.ndarray:
@@ -93,23 +117,19 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
     """(doc_id, h, node, n, print, keys, wide, m0..m3) of each row; node is the hash of its set of shingles, print their SimHash."""
-    names = ["doc_id", "h", "node", "n", "print", "keys", "wide", *_MAPS]
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", long), ("h", long), ("node", long), ("n", pa.int32()), ("print", long), ("keys", longs), ("wide", longs), *((m, long) for m in _MAPS)])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, int]]:
         for batch in batches:
-            nodes, sizes, prints, firsts, wide, maps = [], [], [], [], [], []
-            for x in batch.column(2):
-                found = shingles(x.as_py())
-                nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                sizes.append(len(found))
-                prints.append(majority(found.view(np.uint64)))
-                firsts.append(keys(found, common))
-                wide.append(parities(found, WIDE))
-                maps.append(parities(found))
-            maps = np.array(maps, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(firsts, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), *[pa.array(maps[:, k].copy()) for k in range(4)]], names)
+            for doc_id, h, text in zip(*batch.columns, strict=True):
+                found = shingles(text.as_py())
+                first, parity = keys(found, common), wide(found)
+                node = signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                yield (doc_id.as_py(), h.as_py(), node, len(found), signed(majority(found.view(np.uint64))), first, parity, *parities(found).tolist()), len(first) + len(parity) + 9
 
-    return texts.mapInArrow(lambda b: tidy(run(b)), "doc_id bigint, h bigint, node bigint, n int, print bigint, keys array<bigint>, wide array<bigint>, " + ", ".join(f"{m} bigint" for m in _MAPS))
+    return texts.mapInArrow(lambda b: tidy(_batches(rows(b), schema)), "doc_id bigint, h bigint, node bigint, n int, print bigint, keys array<bigint>, wide array<bigint>, " + ", ".join(f"{m} bigint" for m in _MAPS))
 
 
 def _near() -> Column:
@@ -147,18 +167,23 @@ def _among(rows: DataFrame, asked: DataFrame, name: str) -> DataFrame:
     return found.filter(F.expr(f"(__bits & {bit}) != 0")).drop("__at", "__word", "__bits")
 
 
-def _sure(apart: Column, n: Column) -> Column:
-    """Whether sets of n members together, whose wide parities are `apart` bits apart, can be held to be of likeness 4/5. The
-    least difference that is too much is n/9 and some; what number of odd places that many shingles leave has a known mean
-    and variance."""
-    m = float(WIDE)
+def _sure(apart: Column, n: Column, bits: Column) -> Column:
+    """Whether sets of n members together, whose parities in so many bits are `apart` apart, can be held to be of likeness 4/5.
+    The least difference that is too much is n/9 and some; the number of odd places that so many shingles leave has a known
+    mean and variance."""
+    m = bits.cast("double")
     least = (F.floor(n / 9) + 1).cast("double")
-    one, two = F.pow(F.lit(1 - 2 / m), least), F.pow(F.lit(1 - 4 / m), least)
+    one, two = F.pow(1 - 2 / m, least), F.pow(1 - 4 / m, least)
     odd = (1 - one) / 2
     variance = m * odd + m * (m - 1) * (1 - 2 * one + two) / 4 - m * m * odd * odd
     return apart <= m * odd - DEVIATIONS * F.sqrt(F.greatest(variance, F.lit(0.0))) - SPARE
 
 
+def _folded(v: Column, size: Column) -> Column:
+    """Parities of twice as many words as `size` made into those of half the bits; others as they are."""
+    return F.when(F.size(v) > size, F.zip_with(F.slice(v, F.lit(1), size), F.slice(v, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(v)
+
+
 def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The pairs (a, b) whose sets have a likeness of 4/5 or more. Parities of the nodes that a pair asks for come from
     `each`; sets, for the few pairs that these leave open, are made again from their texts."""
@@ -168,9 +193,11 @@ def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, cut: Callable
     known = _among(each.select("node", "h", "n", "wide"), asked, "node").groupBy("node").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.first("wide").alias("wide"))
     known = cut(known.join(asked, "node", "left_semi"), "known")
     of = lambda c, w, n: known.select(F.col("node").alias(c), F.col("wide").alias(w), F.col("n").alias(n))
-    apart = F.aggregate(F.zip_with("v", "w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    likely = pairs.join(of("a", "v", "p"), "a").join(of("b", "w", "q"), "b").select("a", "b", apart.alias("apart"), (F.col("p") + F.col("q")).alias("n"))
-    likely = cut(likely.filter(9 * F.col("apart") <= F.col("n")).select("a", "b", _sure(F.col("apart"), F.col("n")).alias("sure")), "likely")
+    words = F.least(F.size("v"), F.size("w"))
+    apart = F.aggregate(F.zip_with(_folded(F.col("v"), words), _folded(F.col("w"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    met = pairs.join(of("a", "v", "p"), "a").join(of("b", "w", "q"), "b").filter("5 * p >= 4 * q and 5 * q >= 4 * p")
+    likely = met.select("a", "b", apart.alias("apart"), (F.col("p") + F.col("q")).alias("n"), (64 * words).alias("bits"))
+    likely = cut(likely.filter(9 * F.col("apart") <= F.col("n")).select("a", "b", _sure(F.col("apart"), F.col("n"), F.col("bits")).alias("sure")), "likely")
     open_ = likely.filter("not sure").select("a", "b")
     asked = cut(asking(open_).join(known.select("node", "h"), "node"), "asked")
     sets = _sets(_among(texts.select("h", "text"), asked, "h")).groupBy("h").agg(F.first("found").alias("found"))
