@@ -2,20 +2,64 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read from there; a folder of our own only where that
-    setting is unset."""
-    spark = df.sparkSession
+#: Rows of an Arrow batch where the session leaves Spark's own number: texts are long, and a batch is held several times over.
+ARROW_ROWS = "1000"
+_shipped: set[str] = set()
+
+
+def one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this library: by path where they run beside the driver, else from an archive of it that
+    Spark hands to every executor. Arrow batches get smaller unless the session has a size of its own."""
+    top = Path(__file__).resolve().parents[2]
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if one_process(spark):
+        have = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if str(top) not in have.split(":"):
+            spark.sparkContext.environment["PYTHONPATH"] = f"{top}:{have}" if have else str(top)
+    elif spark.sparkContext.applicationId not in _shipped:
+        _shipped.add(spark.sparkContext.applicationId)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='millrace-')}/millrace", "zip", top, Path(__file__).resolve().parents[1].name))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only where that is unset and all of Spark runs in
+    this one process is it a temporary folder of our own; on a cluster nobody else would see one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not one_process(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return top.rstrip("/")
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder and read from there."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._cut_at = path
+    return made
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Deletes what `cut` wrote for these frames; nothing read later may depend on them."""
+    for df in frames:
+        path = getattr(df, "_cut_at", None)
+        if path:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.storage import cut
+from ..functions.storage import cut, drop_cut
 
 
 def clean(edges: DataFrame) -> DataFrame:
@@ -62,23 +62,29 @@ def spider_traps(edges: DataFrame) -> DataFrame:
 def page_rank(edges: DataFrame, beta: float = 0.9, rounds: int = 50, tolerance: float = 1e-5) -> DataFrame:
     """node, rank. Starts even; dead ends spread their rank evenly; ends once the change's L2 norm is below tolerance.
 
-    Ranks stay distributed and are written each round; the driver sees two sums a round."""
+    Ranks stay distributed. A round is one write: of a node's old rank and of what it was given. What is spread evenly only
+    needs the sum of what was given, and goes into the expression of the new rank, so that the change, too, comes from sums of
+    the same one pass. The round before is deleted."""
     e = cut(edges.select("src", "dst").distinct().join(edges.groupBy("src").agg(F.countDistinct("dst").alias("deg")), "src"), "edges")
-    all_nodes = cut(nodes(edges), "nodes")
-    n = all_nodes.count()
+    state = cut(nodes(edges).select("node", F.lit(0.0).alias("old"), F.lit(0.0).alias("got")), "ranks")
+    n = state.count()
     if not n:
-        return all_nodes.select("node", F.lit(0.0).alias("rank"))
-    ranks = all_nodes.select("node", F.lit(1.0 / n).alias("rank"))
+        return state.select("node", F.lit(0.0).alias("rank"))
+    rank, done = F.lit(1.0 / n), state
     for _ in range(rounds):
-        given = cut(e.join(ranks, e["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got")), "given")
-        passed = given.agg(F.sum("got")).first()[0] or 0.0
+        ranks = state.select("node", rank.alias("rank"))
+        given = e.join(ranks, e["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
+        state = cut(ranks.withColumnRenamed("rank", "old").join(given.withColumnRenamed("dst", "node"), "node", "left").select("node", "old", F.coalesce("got", F.lit(0.0)).alias("got")), "ranks")
+        drop_cut(done)
+        done = state
+        # new = even + beta * got; the change's norm from sums of d = beta * got - old
+        d = beta * F.col("got") - F.col("old")
+        passed, dd, d1 = state.agg(F.sum("got"), F.sum(d * d), F.sum(d)).first()
         even = (1 - beta) / n + beta * (1 - passed) / n
-        new = cut(ranks.withColumnRenamed("rank", "old").join(given.withColumnRenamed("dst", "node"), "node", "left").select("node", (F.lit(even) + beta * F.coalesce("got", F.lit(0.0))).alias("rank"), "old"), "ranks")
-        change = new.agg(F.sqrt(F.sum((F.col("rank") - F.col("old")) ** 2))).first()[0]
-        ranks = new.select("node", "rank")
-        if change < tolerance:
+        rank = F.lit(even) + beta * F.col("got")
+        if max(0.0, dd + 2 * even * d1 + n * even * even) ** 0.5 < tolerance:
             break
-    return ranks
+    return state.select("node", rank.alias("rank"))
 
 
 def neighbours(mutual: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Distances between all points, block against block: ranges, silhouettes, diameters, agreement of distances.
 
-Points are dealt into blocks of about SIZE; each pair of blocks is one row that numpy takes at once, so a task holds two
-blocks however many points there are. What comes out is already summed for each point of the first block.
+Points are dealt into blocks of about SIZE; each unordered pair of blocks is one row that numpy takes at once, so a task holds
+two blocks however many points there are. What comes out is already summed for each point of either block.
 """
 
 from __future__ import annotations
@@ -18,15 +18,20 @@ SIZE = 256
 
 
 def block_pairs(points: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """a_<name> and b_<name> for every pair of blocks. Vectors are laid end to end."""
+    """a_<name> and b_<name> for every pair of blocks, once: a_block <= b_block. Vectors are laid end to end."""
     n = max(1, -(-points.count() // SIZE))
     named = points.select("id", *[c.alias(k) for k, c in columns.items()])
-    rows = named.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", *columns)).alias("rows"))
+    rows = named.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", *columns)).alias("rows"))
     vector = {f.name: f.dataType.typeName() == "array" for f in named.schema}
     lay = lambda c: F.transform("rows", lambda r: r[c])
-    flat = cut(rows.select(*[(F.flatten(lay(c)) if vector[c] else lay(c)).alias(c) for c in named.columns]), "blocks")
+    flat = cut(rows.select("block", *[(F.flatten(lay(c)) if vector[c] else lay(c)).alias(c) for c in named.columns]), "blocks")
     side = lambda p: flat.select(*[F.col(c).alias(f"{p}_{c}") for c in flat.columns])
-    return side("a").crossJoin(side("b"))
+    return side("a").join(side("b"), F.col("a_block") <= F.col("b_block"))
+
+
+def _both_ways(r) -> list[tuple]:
+    """The pair of blocks as seen from each of its ends; a block with itself is seen once."""
+    return [("a", "b", False), ("b", "a", True)] if r.a_block != r.b_block else [("a", "b", False)]
 
 
 def distances(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -43,7 +48,10 @@ def within(points: DataFrame, eps: float) -> DataFrame:
             for r in batch.itertuples(index=False):
                 d = distances(r.a_v, r.b_v, len(r.a_id), len(r.b_id))
                 i, j = np.nonzero(d <= eps)
-                yield pd.DataFrame({"i": np.asarray(r.a_id)[i], "j": np.asarray(r.b_id)[j], "d": d[i, j]})
+                a, b, d = np.asarray(r.a_id)[i], np.asarray(r.b_id)[j], d[i, j]
+                yield pd.DataFrame({"i": a, "j": b, "d": d})
+                if r.a_block != r.b_block:
+                    yield pd.DataFrame({"i": b, "j": a, "d": d})
 
     return block_pairs(points, {"v": F.col("v").cast("array<double>")}).mapInPandas(near, "i long, j long, d double")
 
@@ -55,10 +63,12 @@ def cluster_distances(points: DataFrame) -> DataFrame:
     def sums(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                d, to = distances(r.a_v, r.b_v, len(r.a_id), len(r.b_id)), np.asarray(r.b_cluster)
-                for c in np.unique(to):
-                    part = d[:, to == c]
-                    yield pd.DataFrame({"id": r.a_id, "own": r.a_cluster, "cluster": c, "total": part.sum(axis=1), "n": part.shape[1], "most": part.max(axis=1)})
+                d = distances(r.a_v, r.b_v, len(r.a_id), len(r.b_id))
+                for one, two, turned in _both_ways(r):
+                    seen, to = (d.T if turned else d), np.asarray(getattr(r, f"{two}_cluster"))
+                    for c in np.unique(to):
+                        part = seen[:, to == c]
+                        yield pd.DataFrame({"id": getattr(r, f"{one}_id"), "own": getattr(r, f"{one}_cluster"), "cluster": c, "total": part.sum(axis=1), "n": part.shape[1], "most": part.max(axis=1)})
 
     schema = "id long, own int, cluster int, total double, n long, most double"
     parts = block_pairs(points, {"v": F.col("v").cast("array<double>"), "cluster": F.col("cluster").cast("int")}).mapInPandas(sums, schema)
@@ -105,7 +115,8 @@ def distance_correlation(points: DataFrame) -> DataFrame:
             for r in batch.itertuples(index=False):
                 n, m = len(r.a_id), len(r.b_id)
                 x, y = distances(r.a_v, r.b_v, n, m), distances(r.a_w, r.b_w, n, m)
-                yield pd.DataFrame([[n * m, x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()]], columns=["n", "x", "y", "xx", "yy", "xy"])
+                times = 1 if r.a_block == r.b_block else 2  # each unordered pair of blocks stands for two
+                yield pd.DataFrame([[times * z for z in (n * m, x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum())]], columns=["n", "x", "y", "xx", "yy", "xy"])
 
     parts = block_pairs(points, {c: F.col(c).cast("array<double>") for c in "vw"}).mapInPandas(sums, "n double, x double, y double, xx double, yy double, xy double")
     t = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])

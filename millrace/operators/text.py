@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import normalized, shingles, tokens
+from ..functions.storage import cut
 
 #: A word character in Unicode's sense.
 NOT_WORD = r"[^\p{L}\p{N}_]+"
@@ -14,7 +15,8 @@ NOT_WORD = r"[^\p{L}\p{N}_]+"
 def word_initials(docs: DataFrame) -> DataFrame:
     """letter, n: for a..z how many distinct words (lower case) begin with it, zeros included."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.split("text", NOT_WORD)).alias("w")).filter(F.col("w").rlike(r"^\p{L}")).select(F.lower("w").alias("w")).distinct()
+    own = F.array_distinct(F.split(F.lower("text"), NOT_WORD))  # distinct in the document first, which most words are not
+    words = docs.select(F.explode(own).alias("w")).filter(F.col("w").rlike(r"^\p{L}")).distinct()
     counts = words.groupBy(F.substring("w", 1, 1).alias("letter")).agg(F.count(F.lit(1)).alias("n"))
     letters = spark.range(26).select(F.char(F.col("id") + 97).alias("letter"))
     return letters.join(F.broadcast(counts.filter(F.col("letter").between("a", "z"))), "letter", "left").select("letter", F.coalesce("n", F.lit(0)).alias("n"))
@@ -38,7 +40,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 def tf_idf(docs: DataFrame) -> DataFrame:
     """doc_id, term, w: tf * ln(N/df), scaled to length 1 a document; zero vectors stay out."""
     n = docs.select("doc_id").distinct().count()
-    tf = term_frequencies(docs)
+    tf = cut(term_frequencies(docs), "term_frequencies")  # read twice below
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = tf.join(df, "term").select("doc_id", "term", (F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))).alias("raw"))
     norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")).filter(F.col("norm") > 0)
