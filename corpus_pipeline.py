@@ -10,20 +10,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.functions.storage import shared_dir, ship
 from millrace.llm import mixing, packing, resemblance, secrets, toxicity
-from millrace.llm.common import shared_dir, workers_find_us
 from millrace.llm.queries import tokenizer_path
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier chain rejects."""
-    workers_find_us(spark)
+    ship(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates: five-word shingles, Jaccard likeness of 0.8 or more."""
-    workers_find_us(spark)
+    ship(spark)
     return resemblance.keep_one(docs)
 
 
@@ -39,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 1024 tokens."""
-    workers_find_us(spark)
+    ship(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -3,36 +3,20 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_dir
+
 #: ASCII white space, which parts words; every other character belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and all of Spark runs in
-    this one process is it a temporary folder of our own; on a cluster nobody else would see one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _one_process(spark):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _one_process(spark: SparkSession) -> bool:
-    master = spark.sparkContext.master
-    return master == "local" or master.startswith("local[")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and returns it as read from there: lineage ends here, and an executor that is
     lost later costs a reread, not a recomputation."""
@@ -96,22 +80,3 @@ def tidy(batches: Iterator) -> Iterator:
 def crc_mod3(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0))
-
-
-_shipped: set[str] = set()
-
-
-def workers_find_us(spark: SparkSession) -> None:
-    """Lets Python workers import this library: by path where they run beside the driver, else from an archive of it that
-    Spark hands to every executor."""
-    import shutil
-    from pathlib import Path
-
-    top = str(Path(__file__).resolve().parents[2])
-    if _one_process(spark):
-        have = spark.sparkContext.environment.get("PYTHONPATH", "")
-        if top not in have.split(":"):
-            spark.sparkContext.environment["PYTHONPATH"] = f"{top}:{have}" if have else top
-    elif spark.sparkContext.applicationId not in _shipped:
-        _shipped.add(spark.sparkContext.applicationId)
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='millrace-')}/millrace", "zip", top, Path(__file__).resolve().parents[1].name))

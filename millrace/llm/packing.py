@@ -24,7 +24,7 @@ from .transducer import Pretokens, blocks, split_special
 
 LIMIT = 1024
 #: Spellings that a worker keeps; beyond, it begins again.
-_POOL_MOST = 800_000
+_POOL_MOST = 300_000
 
 
 def _roomy(values: np.ndarray, size: int) -> np.ndarray:

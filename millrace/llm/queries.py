@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.storage import ship
 from . import golay, host_rules, mixing, packing, quality_knn, secrets, sketches, toxicity, transducer, url_filter
-from .common import workers_find_us
 from .sql import SQL
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,7 +20,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    workers_find_us(spark)
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -189,7 +189,9 @@ def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, cut: Callable
     `each`; sets, for the few pairs that these leave open, are made again from their texts."""
     asking = lambda of: of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     pairs = cut(pairs, "pairs")
-    asked = cut(asking(pairs), "asked")
+    if pairs.isEmpty():
+        return pairs
+    asked = asking(pairs)
     known = _among(each.select("node", "h", "n", "wide"), asked, "node").groupBy("node").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.first("wide").alias("wide"))
     known = cut(known.join(asked, "node", "left_semi"), "known")
     of = lambda c, w, n: known.select(F.col("node").alias(c), F.col("wide").alias(w), F.col("n").alias(n))
@@ -199,7 +201,9 @@ def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, cut: Callable
     likely = met.select("a", "b", apart.alias("apart"), (F.col("p") + F.col("q")).alias("n"), (64 * words).alias("bits"))
     likely = cut(likely.filter(9 * F.col("apart") <= F.col("n")).select("a", "b", _sure(F.col("apart"), F.col("n"), F.col("bits")).alias("sure")), "likely")
     open_ = likely.filter("not sure").select("a", "b")
-    asked = cut(asking(open_).join(known.select("node", "h"), "node"), "asked")
+    if open_.isEmpty():
+        return likely.select("a", "b")
+    asked = asking(open_).join(known.select("node", "h"), "node")
     sets = _sets(_among(texts.select("h", "text"), asked, "h")).groupBy("h").agg(F.first("found").alias("found"))
     sets = cut(sets.join(asked, "h").select("node", "found"), "sets")
     side = lambda c, s: sets.select(F.col("node").alias(c), F.col("found").alias(s))
@@ -238,8 +242,10 @@ def groups(documents: DataFrame) -> DataFrame:
             pairs = _hub_pairs(crowded, turn) if turn < HUB_ROUNDS else _all_pairs(crowded)
             if turn == 0:
                 pairs = pairs.unionByName(_all_pairs(live.filter(F.col("members") <= BUCKET))).distinct()
-            links = links.unionByName(_verified(pairs, each, texts, cut))
-            found = cut(components(links, cut).withColumnRenamed("node", "__node"), "found")
+            more = _verified(pairs, each, texts, cut)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                found = cut(components(links, cut).withColumnRenamed("node", "__node"), "found")
         return materialize(_placed(each.select("doc_id", "h", "node"), found).select("doc_id", "h", "component"), "groups")
 
 
