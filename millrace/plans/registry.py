@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import floor5
 from ..functions.storage import cut, ship
 from ..operators import baskets, bloom, centres, density, embed, graph, hyperplanes, learners, linear, minhash, pairwise, prepare, recommend, stats, text
+from ..streaming import windows
 
 #: Numbers in a vector of embeddings.
 _WIDTH = 64
@@ -755,3 +756,10 @@ def sage_training(spark, sf_dir):
 def skip_gram_vectors(spark, sf_dir):
     """Vectors of the mutual graph's nodes from the even walks' window pairs; tests/ hold them against numpy."""
     return embed.skip_gram(graph.window_pairs(graph.biased_walks(_mutual(spark, sf_dir), 1.0, 1.0)), dim=16)
+
+
+# Event time
+@query("SELECT epoch(date_trunc('day', ts))::BIGINT AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    made = windows.windowed(_read(spark, sf_dir, "events"), "ts", "event_type", "value")
+    return made.select(F.col("start").cast("timestamp").cast("bigint").alias("day"), "event_type", "n", F.round("mean", 6).alias("mean"))

@@ -183,6 +183,16 @@ def test_ward_on_the_vectors(spark, vectors):
     assert dict(rows(QUERIES["agglomerative_ward"](spark, SMALL))) == want
 
 
+@pytest.mark.parametrize("linkage", ["ward", "average", "complete"])
+def test_merging_in_rounds_gives_the_same_clusters(spark, linkage, monkeypatch):
+    monkeypatch.setattr(pairwise, "SIZE", 12)
+    rng = np.random.default_rng(6)
+    x = [*rng.normal(size=(24, 2)).round(3).tolist(), [0.5, 0.5], [0.5, 0.5]]
+    points = spark.createDataFrame([(3 * i + 1, v) for i, v in enumerate(x)], "id long, v array<double>")
+    assert rows(learners.merged_in_rounds(points, 4, linkage)) == rows(learners.agglomerative(points, 4, linkage))
+    assert rows(learners.agglomerative(points, 4, linkage, most_points=10)) == rows(learners.agglomerative(points, 4, linkage))
+
+
 def test_network_against_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(40, 2))
