@@ -102,7 +102,8 @@ def fingerprints_of_edits(documents: DataFrame, k: int = K, width: int = WIDTH)
 
     The edited text has the last floor(n_chars/3) code points replaced by as many from the start of the next document (by
     descending id; after the last, the first). A null text is empty, a null id is smaller than any other. Rows that
-    repeat an id are returned each; as the next of others, the smallest of their texts counts. Other columns are ignored.
+    repeat an id are returned each; as the next of others, the smallest of their texts counts. Equal hashes are one shingle.
+    Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     docs = documents.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     ids = materialize(docs.groupBy("key").agg(F.max(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("rows")), "ids")

@@ -394,7 +394,8 @@ def token_counts(documents: DataFrame, path: str, limit: int = 512) -> DataFrame
     """doc_id, n_bytes, n_tokens, over_limit: one row per row of documents, in one narrow stage.
 
     Special strings in a text count as one token, as the library has it by default; a null text counts as empty and has
-    no tokens; other columns are ignored. `path` names a byte-level BPE file that each executor can read."""
+    no tokens; repeated rows are counted each, other columns are ignored, whatever their names, and an empty table gives no
+    rows. Long texts are split by a prefix scan over chunks, in time near their length. `path` names a byte-level BPE file that each executor can read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

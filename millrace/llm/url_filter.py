@@ -76,7 +76,9 @@ def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: in
     """page_id, host, path, rule, verdict, n_strict, n_soft: one row per row of pages, in one narrow stage.
 
     A fitting rule decides, the longest of several; else one strict term or soft_hits different soft terms in the whole
-    url block it. A null or empty url has no parts and no terms, and is allowed. Only page_id and url are read."""
+    url block it. A null or empty url has no parts and no terms, and is allowed. Rules of one length that both fit can't be, as
+    each host has one suffix of a length. Repeated rows are judged each, whole urls count in one pass over them, and an empty
+    table gives no rows. Only page_id and url are read, so that other columns may have any name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, terms = Rules(rules), automaton(strict, soft)

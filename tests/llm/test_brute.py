@@ -192,3 +192,23 @@ def redacted(text):
         a, b = int(a), int(b)
         out, p = out + (text[p:a] + "[SECRET]" if a >= p else ""), max(p, b)
     return out + text[p:]
+
+
+def test_odd_rows_of_the_python_operators(spark):
+    """Nulls, repeats, long texts, clashing names and empty tables where other tests don't have them."""
+    from millrace.llm import golay, packing, transducer, url_filter
+
+    long = "wörd, " * 60_000
+    docs = spark.createDataFrame([(1, long, "x", "y"), (1, long, "x", "y"), (2, None, None, None), (None, "", "x", "y")], "doc_id long, text string, print string, rep string")
+    from tokenizers import Tokenizer
+
+    want = len(Tokenizer.from_file(tokenizer_path()).encode(long, add_special_tokens=False).ids)
+    assert sorted(r["n_tokens"] for r in transducer.token_counts(docs, tokenizer_path()).collect()) == [0, 0, want, want]
+    assert transducer.token_counts(docs.filter("false"), tokenizer_path()).count() == 0
+    packed = packing.pack(docs, tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in packed} == {1: 2 * (want + 1), 2: 1, None: 1}
+    got = golay.near_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == [("1", 1), ("1", 1), ("2", 2), ("None", 2)]
+    url = "https://example.org/" + "a/" * 50_000 + "casino"
+    pages = spark.createDataFrame([(1, url, "h"), (1, url, "h"), (2, None, None)], "page_id long, url string, verdict string")
+    assert sorted((r["page_id"], r["verdict"]) for r in url_filter.judge(pages).collect()) == [(1, "block"), (1, "block"), (2, "allow")]
