@@ -223,9 +223,9 @@ def spider_traps_of_a_map(spark, sf_dir):
     return graph.spider_traps(c.select(F.col("c").alias("src"), ((F.col("c") * 7 + 1) % 1500).alias("dst")).unionByName(c.select((2000 + F.col("m")).alias("src"), (2049 - F.col("m")).alias("dst"))))
 
 
-@query(f"WITH {_BOTH} SELECT u AS node, list_sort(list(v)) AS nbrs FROM g GROUP BY u")
+@query(f"WITH {_BOTH} SELECT u AS node, array_to_string(list_sort(list(v)), ',') AS nbrs FROM g GROUP BY u")
 def neighbour_lists(spark, sf_dir):
-    return graph.neighbours(_mutual(spark, sf_dir))
+    return graph.neighbours(_mutual(spark, sf_dir)).select("node", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
 
 
 @query(f"WITH {_MUTUAL}, r AS (SELECT *, row_number() OVER (ORDER BY u, v) AS k, count(*) OVER () AS n FROM m) SELECT u, v FROM r WHERE n <= 20 OR k <= 10 OR k > n - 10")
@@ -706,9 +706,9 @@ def rows_by_label(spark, sf_dir):
     return prepare.by_label(_points(spark, sf_dir), "id", "label", 1000)
 
 
-@query("SELECT vec_id AS id, list_transform(range(10), lambda k: (k = label)::INT::DOUBLE) AS hot, round(exp(embedding[1]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE) + exp(embedding[3]::DOUBLE)), 6) AS p, round(1 - tanh(embedding[1]::DOUBLE) ** 2, 6) AS slope FROM embeddings")
+@query("SELECT vec_id AS id, array_to_string(list_transform(range(10), lambda k: (k = label)::INT), ',') AS hot, round(exp(embedding[1]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE) + exp(embedding[3]::DOUBLE)), 6) AS p, round(1 - tanh(embedding[1]::DOUBLE) ** 2, 6) AS slope FROM embeddings")
 def activations(spark, sf_dir):
-    return _points(spark, sf_dir).select("id", prepare.one_hot(F.col("label"), 10).alias("hot"), F.round(F.get(prepare.softmax(F.slice("v", 1, 3)), F.lit(0)), 6).alias("p"), F.round(prepare.tanh_slope(F.get("v", F.lit(0))), 6).alias("slope"))
+    return _points(spark, sf_dir).select("id", F.array_join(F.transform(prepare.one_hot(F.col("label"), 10), lambda x: x.cast("int").cast("string")), ",").alias("hot"), F.round(F.get(prepare.softmax(F.slice("v", 1, 3)), F.lit(0)), 6).alias("p"), F.round(prepare.tanh_slope(F.get("v", F.lit(0))), 6).alias("slope"))
 
 
 @query("SELECT vec_id AS id, round(x ** 3, 6) AS cube, round(exp(-((x - 0.1) ** 2) / 0.08), 6) AS bell, round(1 / (1 + exp(-(x - 0.1) / 0.2)), 6) AS step FROM (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings)")
