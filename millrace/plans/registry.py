@@ -638,6 +638,26 @@ def bias_variance(spark, sf_dir):
     return got.select(F.round(F.col("bias2") / 1e6, 4).alias("bias2"), F.round(F.col("variance") / 1e6, 6).alias("variance"))
 
 
+_RIDGES = [0.0, 10.0, 100.0, 1000.0, 10000.0, 100000.0]
+
+
+@query(f"""WITH l AS (SELECT unnest({_RIDGES})::DOUBLE AS ridge), s AS (SELECT l_orderkey % 20 AS s, count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, sum(l_quantity * l_quantity) AS xx, sum(l_quantity * l_extendedprice) AS xy FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1),
+m AS (SELECT ridge, (xy - n * mx * my) / (xx - n * mx * mx + ridge) AS b, my, mx FROM s, l), k AS (SELECT ridge, b, my - b * mx AS a FROM m), t AS (SELECT row_number() OVER () AS r, l_extendedprice AS y, l_quantity AS x FROM lineitem WHERE l_orderkey % 5 = 0),
+g AS (SELECT ridge, r, any_value(y) AS y, avg(a + b * x) AS mean, var_pop(a + b * x) AS v FROM t, k GROUP BY ALL) SELECT ridge, round(avg((mean - y) ** 2) / 1e6, 4) AS bias2, round(avg(v) / 1e6, 6) AS variance FROM g GROUP BY ridge""")
+def bias_variance_sweep(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem")
+    got = learners.spread_sweep(rows.filter("l_orderkey % 5 <> 0"), rows.filter("l_orderkey % 5 = 0"), F.col("l_extendedprice"), [F.col("l_quantity")], F.col("l_orderkey") % 20, _RIDGES)
+    return got.select("ridge", F.round(F.col("bias2") / 1e6, 4).alias("bias2"), F.round(F.col("variance") / 1e6, 6).alias("variance"))
+
+
+@query()
+def layered_accuracy(spark, sf_dir):
+    """Labels of vectors by a net of 64-16-10 sigmoids after 50 rounds, on train and test parts; tests/ hold it to numpy."""
+    p = _points(spark, sf_dir).withColumn("part", prepare.split_of(F.col("id")))
+    w = learners.layers(p.filter("part = 'train'"), "v", "label", [_WIDTH, 16, 10], 0.5, 50)
+    return learners.layer_guesses(p, "v", w).groupBy("part").agg(F.round(F.avg((F.col("guess") == F.col("label")).cast("double")), 6).alias("accuracy"))
+
+
 @query()
 def network_quality(spark, sf_dir):
     """quality by length and lines through a small network with Adam's steps: the share of right guesses."""

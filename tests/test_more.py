@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bloom, centres, embed, graph, learners, linear, pairwise, prepare, recommend, stats
+from millrace.operators import bloom, centres, embed, graph, learners, linear, minhash, pairwise, prepare, recommend, stats
 from millrace.plans import registry
 from millrace.plans.registry import QUERIES
 from millrace.sources import text_files
@@ -211,6 +211,35 @@ def test_network_against_numpy(spark):
     assert all(np.allclose(a, b) for a, b in zip(got, w, strict=True))
 
 
+def test_sigmoid_layers(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(30, 5)), rng.integers(0, 3, 30)
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)], "v array<double>, c int").repartition(3)
+    got = learners.layers(df, "v", "c", [5, 4, 3], 0.5, 3)
+    r = np.random.RandomState(0)
+    w = [r.randn(5, 4) / np.sqrt(5), r.randn(4, 3) / np.sqrt(4)]
+    s = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(3):
+        h = s(x @ w[0])
+        o = s(h @ w[1])
+        d2 = (o - np.eye(3)[y]) * o * (1 - o)
+        d1 = (d2 @ w[1].T) * h * (1 - h)
+        w = [w[0] - 0.5 * x.T @ d1 / 30, w[1] - 0.5 * h.T @ d2 / 30]
+    assert all(np.allclose(a, b) for a, b in zip(got, w, strict=True))
+    learners.save_weights(spark, got, f"file://{tmp_path}/w")
+    kept = learners.load_weights(spark, f"file://{tmp_path}/w")
+    assert all((a == b).all() for a, b in zip(got, kept, strict=True))
+    guess = {tuple(r["v"]): r["guess"] for r in learners.layer_guesses(df, "v", kept).collect()}
+    assert [guess[tuple(v)] for v in x.tolist()] == s(s(x @ w[0]) @ w[1]).argmax(1).tolist()
+
+
+def test_primes_and_empty_signatures(spark):
+    assert [minhash.smallest_prime(n) for n in (0, 8, 13, 19683)] == [2, 11, 13, minhash.PRIME]
+    docs = spark.createDataFrame([(1, "abcd"), (2, "x"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["sig"]) for r in minhash.signatures(docs, empties=True).collect()}
+    assert got[2] == got[3] == {minhash.PRIME} and got[1] != got[2] and minhash.signatures(docs).count() == 1
+
+
 def test_walks_and_layers(spark):
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 4), (2, 4)], "u long, v long")
     nbrs = {1: [2, 4], 2: [1, 3, 4], 3: [2, 4], 4: [1, 2, 3]}
