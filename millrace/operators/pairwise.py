@@ -17,16 +17,38 @@ from ..functions.storage import cut
 SIZE = 256
 
 
-def block_pairs(points: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """a_<name> and b_<name> for every pair of blocks, once: a_block <= b_block. Vectors are laid end to end."""
+#: Most ranges of distance to the pivot; bounds what the driver sees of them.
+RANGES = 4096
+
+
+def block_pairs(points: DataFrame, columns: dict[str, Column], reach: float | None = None) -> DataFrame:
+    """a_<name> and b_<name> for every pair of blocks, once: a_block <= b_block. Vectors are laid end to end.
+
+    With `reach`, only pairs of blocks that can hold points of `v` so near to each other: blocks are ranges of the distance to
+    a pivot, the mean of all points, and two points are at least as far apart as their distances to any pivot differ. A range
+    with too many points, as of copies, is dealt into several blocks."""
     n = max(1, -(-points.count() // SIZE))
     named = points.select("id", *[c.alias(k) for k, c in columns.items()])
-    rows = named.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", *columns)).alias("rows"))
     vector = {f.name: f.dataType.typeName() == "array" for f in named.schema}
+    if reach is None:
+        dealt = named.withColumns({"r": F.lit(0.0), "range": F.lit(0), "part": F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")})
+    else:
+        mean = [r["m"] for r in points.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).orderBy("d").collect()]
+        seen = cut(named.withColumn("r", F.sqrt(squared_distance(F.col("v"), F.lit([float(x) for x in mean])))), "pivot")
+        k = min(n, RANGES)
+        ends = sorted(set(seen.approxQuantile("r", [i / k for i in range(1, k)], 0.1 / k))) if k > 1 else []
+        at = F.size(F.filter(F.lit(ends), lambda e: e <= F.col("r"))) if ends else F.lit(0)
+        counts = {r["range"]: r["count"] for r in seen.groupBy(at.alias("range")).count().collect()}
+        parts = F.element_at(F.create_map(*[F.lit(x) for c, m in counts.items() for x in (c, -(-m // SIZE))]), F.col("range")) if counts else F.lit(1)
+        dealt = seen.withColumn("range", at).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    rows = dealt.groupBy("range", "part").agg(F.collect_list(F.struct("id", *columns)).alias("rows"), F.min("r").alias("low"), F.max("r").alias("high"))
     lay = lambda c: F.transform("rows", lambda r: r[c])
-    flat = cut(rows.select("block", *[(F.flatten(lay(c)) if vector[c] else lay(c)).alias(c) for c in named.columns]), "blocks")
+    block = (F.col("range").cast("long") * (1 << 31) + F.col("part")).alias("block")
+    flat = cut(rows.select(block, "low", "high", *[(F.flatten(lay(c)) if vector[c] else lay(c)).alias(c) for c in named.columns]), "blocks")
     side = lambda p: flat.select(*[F.col(c).alias(f"{p}_{c}") for c in flat.columns])
-    return side("a").join(side("b"), F.col("a_block") <= F.col("b_block"))
+    once = F.col("a_block") <= F.col("b_block")
+    near = once if reach is None else once & (F.col("b_low") - F.col("a_high") <= reach * (1 + 1e-9) + 1e-9)
+    return side("a").join(side("b"), near).drop("a_low", "a_high", "b_low", "b_high")
 
 
 def _both_ways(r) -> list[tuple]:
@@ -53,7 +75,8 @@ def within(points: DataFrame, eps: float) -> DataFrame:
                 if r.a_block != r.b_block:
                     yield pd.DataFrame({"i": b, "j": a, "d": d})
 
-    return block_pairs(points, {"v": F.col("v").cast("array<double>")}).mapInPandas(near, "i long, j long, d double")
+    rows = points.select("id", F.col("v").cast("array<double>").alias("v"))
+    return block_pairs(rows, {"v": F.col("v")}, eps if eps < float("inf") else None).mapInPandas(near, "i long, j long, d double")
 
 
 def cluster_distances(points: DataFrame) -> DataFrame:

@@ -84,6 +84,11 @@ def test_block_pairs_of_several_blocks(spark, vectors, monkeypatch):
     points = registry._labelled(spark, SMALL)
     near = rows(pairwise.within(points.select("id", "v"), 1.3).select("i", "j"))
     assert near == sorted((ids[i], ids[j]) for i, j in zip(*np.nonzero(d <= 1.3), strict=True))
+    line = spark.createDataFrame([(k, [float(k // 2), 0.0]) for k in range(120)] + [(1000 + k, [7.0, 0.0]) for k in range(40)], "id long, v array<double>")
+    place = {k: k // 2 for k in range(120)} | {1000 + k: 7 for k in range(40)}
+    kept = pairwise.block_pairs(line, {"v": F.col("v")}, 1.0).count()
+    assert rows(pairwise.within(line, 1.0).select("i", "j")) == sorted((a, b) for a in place for b in place if abs(place[a] - place[b]) <= 1)
+    assert kept < pairwise.block_pairs(line, {"v": F.col("v")}).count()
     want = {int(c): d[np.ix_(label == c, label == c)].max() for c in set(label)}
     assert {r[0]: pytest.approx(r[1]) for r in rows(pairwise.diameters(points))} == want
     s = {}
