@@ -31,6 +31,14 @@ def _roomy(values: np.ndarray, size: int) -> np.ndarray:
     return values if len(values) >= size else np.concatenate((values, np.zeros(max(len(values), size - len(values)), values.dtype)))
 
 
+class _Numbers(dict):
+    """Numbers from 0 in the order of first use."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     """Token ids of many texts. The library encodes each spelling of a pre-token once; texts are put together from those."""
 
@@ -48,7 +56,6 @@ class Encoder:
         made = self.library.encode_batch_fast([w.decode() for w in spellings], add_special_tokens=False)
         ids = [x.ids for x in made]
         first, n = self.count, len(spellings)
-        self.known.update(zip(spellings, range(first, first + n), strict=True))
         ends = self.at[first] + np.cumsum(np.fromiter(map(len, ids), np.int64, n))
         self.at, self.pool = _roomy(self.at, first + n + 1), _roomy(self.pool, int(ends[-1]))
         self.pool[self.at[first] : ends[-1]] = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1] - self.at[first]))
@@ -56,7 +63,7 @@ class Encoder:
         self.count += n
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.pool, self.at, self.count = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), 0
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -76,9 +83,11 @@ class Encoder:
         spelled = [raw[b : b + n] for b, n in zip(begin, length, strict=True)]
         if len(self.known) + len(spelled) > _POOL_MOST:
             self._forget()
-        if new := [w for w in spelled if w not in self.known]:
-            self._learn(new)
-        index = np.fromiter(map(self.known.__getitem__, spelled), np.int64, len(spelled))
+        index = np.fromiter(map(self.known.__getitem__, spelled), np.int64, len(spelled))  # new spellings get the next numbers
+        new = np.flatnonzero(index >= self.count)
+        if new.size:
+            first = np.unique(index[new], return_index=True)[1]  # in the order of their numbers
+            self._learn([spelled[k] for k in new[first].tolist()])
         at = self.at
         start, size = at[index][which], (at[index + 1] - at[index])[which]
         total = np.concatenate(([0], np.cumsum(size)))
