@@ -168,7 +168,7 @@ def test_factors_against_singular_vectors(spark):
     seen[:, 0] = True
     ratings = spark.createDataFrame([(int(u), int(i), 1.0) for u, i in zip(*np.nonzero(seen), strict=True)], "user long, item long, rating double")
     pairs = spark.createDataFrame([(u, i) for u in range(14) for i in range(9)] + [(99, 0)], "user long, item long")
-    got = {(r[0], r[1]): r[2] for r in recommend.predict(recommend.factorize(ratings, rank=3, rounds=200), pairs).collect()}
+    got = {(r[0], r[1]): r[2] for r in recommend.predict(recommend.factorize(ratings, rank=3, rounds=60), pairs).collect()}
     m = seen.astype(float)
     u, s, vt = np.linalg.svd(m, full_matrices=False)
     mean = m.mean()
@@ -179,11 +179,15 @@ def test_factors_against_singular_vectors(spark):
 
 def test_ward_on_the_vectors(spark, vectors):
     x, ids, _ = vectors
-    groups = [[i] for i in range(len(x))]
+    groups, centre, n = [[i] for i in range(len(x))], x.copy(), np.ones(len(x))
     while len(groups) > 10:
-        cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
-        _, i, j = min((cost(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        cost = np.outer(n, n) / np.add.outer(n, n) * ((centre[:, None] - centre[None]) ** 2).sum(-1)
+        np.fill_diagonal(cost, np.inf)
+        i, j = sorted(np.unravel_index(cost.argmin(), cost.shape))
+        centre[i] = (n[i] * centre[i] + n[j] * centre[j]) / (n[i] + n[j])
+        n[i] += n[j]
         groups[i] += groups.pop(j)
+        centre, n = np.delete(centre, j, 0), np.delete(n, j)
     want = {ids[i]: k for k, g in enumerate(sorted(groups, key=min)) for i in g}
     assert dict(rows(QUERIES["agglomerative_ward"](spark, SMALL))) == want
 
