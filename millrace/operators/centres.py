@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut, drop_cut
 from .pairwise import diameters
 
 
@@ -22,50 +23,79 @@ def seeded_starts(points: DataFrame, k: int, seed: int) -> list[list[float]]:
     return [[float(x) for x in r["v"]] for r in points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()]
 
 
+#: Points of a block that a task takes at once.
+BLOCK = 4096
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point, the first of equal ones, and the squared distance to it. Where the matrix product can't
+    tell the nearest from the next, differences do."""
+    scale = (x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)
+    d2 = scale - 2 * (x @ centres.T)
+    at = d2.argmin(axis=1)
+    rows = np.arange(len(x))
+    least = d2[rows, at]
+    close = ~(d2 > (least + 1e-15 * (x.shape[1] + 8) * scale.max(axis=1))[:, None])
+    for i in np.nonzero(close.sum(axis=1) != 1)[0]:
+        at[i] = ((x[i] - centres) ** 2).sum(axis=1).argmin()
+    return at, ((x - centres[at]) ** 2).sum(axis=1)
+
+
 def lloyd_many(points: DataFrame, starts: list[list[list[float]]], rounds: int = 300) -> list[tuple[list[list[float]], float]]:
     """(centres, inertia) of k-means from each list of starting centres; a list is done when its centres stand still, and an
-    empty cluster keeps its centre. Tasks send one row for each centre of a list that still moves."""
+    empty cluster keeps its centre. Points are written once as blocks; each round is one job, whose tasks, a few for each core,
+    send one array for all lists that still move."""
     found, live = [np.array(s, float) for s in starts], set(range(len(starts)))
-    costs = [0.0] * len(starts)
-    table = points.select(F.col("v").cast("array<double>").alias("v"))
+    if not found:
+        return []
+
+    def pack(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, BLOCK):
+                column = batch.column(0)[k : k + BLOCK]
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(column)], pa.int32()), "x": pa.array([column.flatten().to_numpy(zero_copy_only=False).astype(float).tobytes()], pa.binary())})
+
+    spark = points.sparkSession
+    written = cut(points.select(F.col("v").cast("array<double>").alias("v")).mapInArrow(pack, "n int, x binary"), "blocks")
+    table = written.coalesce(4 * spark.sparkContext.defaultParallelism)
 
-    def passed(which: list[int]) -> list:
+    def passed(which: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
         now = {k: found[k] for k in which}
 
         def sums(batches):
-            out = {k: [np.zeros_like(c), np.zeros(len(c)), 0.0] for k, c in now.items()}
+            out = {k: np.zeros((len(c), c.shape[1] + 2)) for k, c in now.items()}  # sums, number, cost
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                for k, c in now.items():
-                    d2 = np.stack([((x - m) ** 2).sum(axis=1) for m in c])
-                    at = d2.argmin(axis=0)
-                    np.add.at(out[k][0], at, x)
-                    out[k][1] += np.bincount(at, minlength=len(c))
-                    out[k][2] += d2.min(axis=0).sum()
-            rows = [(k, j, s[j].tolist(), float(n[j]), cost if j == 0 else 0.0) for k, (s, n, cost) in out.items() for j in range(len(n))]
-            yield pa.RecordBatch.from_pydict({"k": pa.array([r[0] for r in rows], pa.int32()), "j": pa.array([r[1] for r in rows], pa.int32()), "s": [r[2] for r in rows], "n": [r[3] for r in rows], "cost": [r[4] for r in rows]})
-
-        width = found[which[0]].shape[1]
-        parts = table.mapInArrow(sums, "k int, j int, s array<double>, n double, cost double")
-        return parts.groupBy("k", "j").agg(F.array(*[F.sum(F.get("s", F.lit(d))) for d in range(width)]).alias("s"), F.sum("n").alias("n"), F.sum("cost").alias("cost")).collect()
+                for n, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    x = np.frombuffer(blob.as_buffer()).reshape(n, -1)
+                    for k, c in now.items():
+                        at, d2 = _nearest(x, c)
+                        hot = np.zeros((len(c), n))
+                        hot[at, np.arange(n)] = 1
+                        out[k][:, :-2] += hot @ x
+                        out[k][:, -2] += hot.sum(axis=1)
+                        out[k][:, -1] += hot @ d2
+            yield pa.RecordBatch.from_pydict({"s": pa.array([np.concatenate([o.ravel() for o in out.values()]).tobytes()], pa.binary())})
+
+        total = sum((np.frombuffer(r["s"]) for r in table.mapInArrow(sums, "s binary").collect()), np.zeros(sum(c.size + 2 * len(c) for c in now.values())))
+        parts, at = {}, 0
+        for k, c in now.items():
+            part = total[at : at + c.size + 2 * len(c)].reshape(len(c), -1)
+            at += part.size
+            parts[k] = part[:, :-2], part[:, -2], float(part[:, -1].sum())
+        return parts
 
     for _ in range(rounds):
         if not live:
             break
-        new = {k: found[k].copy() for k in live}
-        for r in passed(sorted(live)):
-            if r["n"]:
-                new[r["k"]][r["j"]] = np.array(r["s"]) / r["n"]
-        for k in list(live):
-            if np.allclose(new[k], found[k]):
+        for k, (s, n, _) in passed(sorted(live)).items():
+            new = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], found[k])
+            if np.allclose(new, found[k]):
                 live.remove(k)
             else:
-                found[k] = new[k]
-    for r in passed(list(range(len(found)))) if found else []:
-        costs[r["k"]] += r["cost"]
-    return [(c.tolist(), cost) for c, cost in zip(found, costs, strict=True)]
+                found[k] = new
+    costs = {k: cost for k, (_, _, cost) in passed(list(range(len(found)))).items()}
+    drop_cut(written)
+    return [(c.tolist(), costs[k]) for k, c in enumerate(found)]
 
 
 def sweep(points: DataFrame, ks: list[int], seeds: list[int], rounds: int = 300) -> DataFrame:
