@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import release
 from . import golay
 from .common import materialize, scratch, tidy
 from .components import components
@@ -112,7 +113,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 def _common(texts: DataFrame) -> np.ndarray:
     part = _sets(texts.filter(F.pmod(F.col("h"), F.lit(SAMPLE)) == 0)).select(F.explode("found").alias("s"))
     often = part.groupBy("s").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON)
-    return np.sort(np.array([r["s"] for r in often.select("s").collect()], np.int64))
+    return np.sort(often.select("s").toArrow().column("s").to_numpy())
 
 
 def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
@@ -231,18 +232,21 @@ def groups(documents: DataFrame) -> DataFrame:
         nodes = cut(each.groupBy("node").agg(F.min("h").alias("h"), *[F.min(c).alias(c) for c in ("n", "print", *_MAPS)]), "nodes")
         links = _verified(_fingerprint_pairs(nodes, cut), each, texts, cut)
         found = cut(components(links, cut).withColumnRenamed("node", "__node"), "found")
+        release(documents.sparkSession)
         firsts = _placed(each.groupBy("node").agg(F.first("keys").alias("keys")), found)
         keyed = cut(firsts.select("node", "component", F.explode("keys").alias("key")), "keyed")
         spread = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") != F.col("hi"))
         held = keyed.select("node", "key").join(spread.select("key", "members"), "key")
         held = cut(held.join(nodes.select("node", "n", *_MAPS), "node"), "held")
         for turn in range(HUB_ROUNDS + 1):
+            release(documents.sparkSession)
             live = _placed(held, found)
             crowded = live.filter(F.col("members") > BUCKET)
             pairs = _hub_pairs(crowded, turn) if turn < HUB_ROUNDS else _all_pairs(crowded)
             if turn == 0:
                 pairs = pairs.unionByName(_all_pairs(live.filter(F.col("members") <= BUCKET))).distinct()
             more = _verified(pairs, each, texts, cut)
+            release(documents.sparkSession)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 found = cut(components(links, cut).withColumnRenamed("node", "__node"), "found")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import release
 from .common import crc_mod3, tidy
 from .labelled import labelled_sample
 
@@ -25,6 +26,8 @@ from .labelled import labelled_sample
 #: sample is small, one term for every ROWS_A_TERM of its documents. Terms in one document alone say nothing.
 PER_CLASS, TERMS, ROWS_A_TERM, USES = 4000, 400, 4, 3
 FOLDS = 5
+#: The fit spreads so many rows of the sample to doubles at a time; whole, the sample is a byte a term.
+BLOCK = 500
 RIDGE = 0.3
 #: The chain's categories, from the columns of labels.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_prose", "toxic = 1 and quality = 1"))
@@ -72,17 +75,31 @@ class Chain:
     weights: list[np.ndarray]  # of the terms, the probabilities before, and the intercept
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
+def _blocks(parts: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The given rows of arrays side by side, BLOCK at a time."""
+    for k in range(0, len(rows), BLOCK):
+        yield slice(k, k + BLOCK), np.hstack([p[rows[k : k + BLOCK]] for p in parts], dtype=np.float64)
+
+
+def logistic(x: np.ndarray | list[np.ndarray], y: np.ndarray, ridge: float, rounds: int = 30, rows: np.ndarray | None = None) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton's method; the last column of x is the intercept's. Both classes
-    weigh alike, however rare one is."""
-    w, share = np.zeros(x.shape[1]), min(max(y.mean(), 1e-3), 1 - 1e-3)
+    weigh alike, however rare one is. x may come as arrays side by side, of any kinds of numbers, and with rows only those
+    count; a few rows at a time are spread to doubles."""
+    parts = x if isinstance(x, list) else [x]
+    rows = np.arange(len(y)) if rows is None else rows
+    y, width = y[rows], sum(p.shape[1] for p in parts)
+    w, share = np.zeros(width), min(max(y.mean(), 1e-3), 1 - 1e-3)
     each = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share))
-    held = np.full(x.shape[1], ridge)
+    held = np.full(width, ridge)
     held[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (each * (p - y)) + held * w
-        step = np.linalg.solve((x * np.maximum(each * p * (1 - p), 1e-9)[:, None]).T @ x + np.diag(held), gradient)
+        gradient, curve = held * w, np.diag(held)
+        for at, block in _blocks(parts, rows):
+            p = 1 / (1 + np.exp(-np.clip(block @ w, -30, 30)))
+            gradient += block.T @ (each[at] * (p - y[at]))
+            block *= np.sqrt(np.maximum(each[at] * p * (1 - p), 1e-9))[:, None]
+            curve += block.T @ block
+        step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -98,13 +115,15 @@ def fit_chain(x: np.ndarray, targets: np.ndarray, folds: np.ndarray, ridge: floa
     n = len(x)
     earlier, weights = np.zeros((n, 0)), []
     for c in range(targets.shape[1]):
-        full = np.hstack([x, earlier, np.ones((n, 1))])
+        full = [x, earlier, np.ones((n, 1))]
         weights.append(logistic(full, targets[:, c], ridge))
         unseen = np.full(n, targets[:, c].mean())
         for f in range(FOLDS):
             out = folds == f
             if out.any() and not out.all():
-                unseen[out] = _sigmoid(full[out] @ logistic(full[~out], targets[~out, c], ridge))
+                w, rows = logistic(full, targets[:, c], ridge, rows=np.nonzero(~out)[0]), np.nonzero(out)[0]
+                for at, block in _blocks(full, rows):
+                    unseen[rows[at]] = _sigmoid(block @ w)
         earlier = np.hstack([earlier, unseen[:, None]])
     return weights
 
@@ -169,11 +188,13 @@ def learn(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, per_cl
 
     kind = "doc_id bigint, present array<int>, " + ", ".join(f"is_{n} int" for n in names)
     table = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[f"is_{n}" for n in names]).mapInArrow(lambda b: tidy(known(b)), kind).orderBy("doc_id").toArrow()
-    x = np.zeros((table.num_rows, len(index)))
-    for k, at in enumerate(table.column("present").to_pylist()):
-        x[k, at] = 1
+    x = np.zeros((table.num_rows, len(index)), np.uint8)
+    present = table.column("present").combine_chunks()
+    x[np.repeat(np.arange(len(x)), np.diff(present.offsets.to_numpy())), present.flatten().to_numpy()] = 1
     targets = np.array([table.column(f"is_{n}").to_pylist() for n in names], np.float64).T
     folds = np.array([zlib.crc32(f"fold {d}".encode()) % FOLDS for d in table.column("doc_id").to_pylist()])
+    del table, present
+    release(documents.sparkSession)
     return Chain(names, index, fit_chain(x, targets, folds))
 
 

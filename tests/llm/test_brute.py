@@ -149,6 +149,32 @@ def test_chain_of_models():
     assert np.allclose(p, np.stack([a, sigmoid(x @ got[1][:8] + a * got[1][8] + got[1][-1])], 1))
 
 
+def test_fitting_holds_no_copies_of_the_sample():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = (rng.random((4000, 150)) < 0.2).astype(np.uint8)
+    y = (x[:, :2].sum(1) + rng.normal(size=4000) > 0.5).astype(float)[:, None]
+    folds = np.arange(4000) % toxicity.FOLDS
+    tracemalloc.start()
+    got = toxicity.fit_chain(x, y, folds)[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * x.size  # the sample in doubles
+    full = np.hstack([x, np.ones((4000, 1))])
+    share = y.mean()
+    each = np.where(y[:, 0] > 0.5, 0.5 / share, 0.5 / (1 - share))
+    held = np.append(np.full(150, toxicity.RIDGE), 1e-6)
+    assert np.abs(full.T @ (each * (1 / (1 + np.exp(-(full @ got))) - y[:, 0])) + held * got).max() < 1e-6
+
+
+def test_the_driver_hands_freed_memory_back(spark):
+    from millrace.functions.storage import release, trim_native
+
+    assert "rim" in trim_native(spark)
+    release(spark)
+
+
 def test_nulls_repeats_and_clashing_names_in_the_chain(spark):
     docs, labels = tables(spark)
     gaps = labels.select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("quality")).alias("quality"), "toxic")
