@@ -20,27 +20,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, tidy
-from .transducer import Pretokens, blocks, split_special
+from .transducer import Pretokens, blocks, run_places, split_special
 
 LIMIT = 1024
-#: Spellings that a worker keeps; beyond, it begins again.
-_POOL_MOST = 800_000
+#: Spellings that a worker keeps, and bytes of them; beyond, it begins again.
+_POOL_MOST, _BYTES_MOST = 800_000, 1 << 25
+#: Spellings that the library is given at once: its answers take some hundred times their bytes.
+_AT_ONCE = 4096
 
 
-def _roomy(values: np.ndarray, size: int) -> np.ndarray:
-    return values if len(values) >= size else np.concatenate((values, np.zeros(max(len(values), size - len(values)), values.dtype)))
+class _Runs:
+    """Runs of numbers, one after the other: run n is of[at[n] : at[n + 1]]."""
 
+    def __init__(self, kind: str):
+        self.of, self.at, self.count = np.empty(1 << 16, kind), np.zeros(1 << 16, np.int64), 0
 
-class _Numbers(dict):
-    """Numbers from 0 in the order of first use."""
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        n, held = self.count, int(self.at[self.count])
+        self.at, self.of = _roomy(self.at, n + 1, n + len(sizes) + 1), _roomy(self.of, held, held + len(values))
+        self.of[held : held + len(values)] = values
+        self.at[n + 1 : n + len(sizes) + 1] = held + np.cumsum(sizes)
+        self.count += len(sizes)
 
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
+    def sizes(self, which: np.ndarray) -> np.ndarray:
+        return self.at[which + 1] - self.at[which]
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        return self.of[run_places(self.at[which], self.sizes(which))]
+
+
+def _roomy(values: np.ndarray, used: int, size: int) -> np.ndarray:
+    """values with room for `size`; what isn't used yet is not written either, and so takes no memory."""
+    if len(values) >= size:
+        return values
+    more = np.empty(max(2 * len(values), size), values.dtype)
+    more[:used] = values[:used]
+    return more
 
 
 class Encoder:
-    """Token ids of many texts. The library encodes each spelling of a pre-token once; texts are put together from those."""
+    """Token ids of many texts. The library encodes each spelling of a pre-token once; texts are put together from those.
+
+    Known spellings are kept in arrays, some 65 bytes each, and not as objects, as every worker of an executor holds its own:
+    their hashes in order with the number of each, and the bytes and ids by number. Bytes are compared before a hash counts."""
 
     def __init__(self, path: str):
         import os
@@ -54,17 +76,40 @@ class Encoder:
 
     def _learn(self, spellings: list[bytes]) -> None:
         made = self.library.encode_batch_fast([w.decode() for w in spellings], add_special_tokens=False)
-        ids = [x.ids for x in made]
-        first, n = self.count, len(spellings)
-        ends = self.at[first] + np.cumsum(np.fromiter(map(len, ids), np.int64, n))
-        self.at, self.pool = _roomy(self.at, first + n + 1), _roomy(self.pool, int(ends[-1]))
-        self.pool[self.at[first] : ends[-1]] = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1] - self.at[first]))
-        self.at[first + 1 : first + n + 1] = ends
-        self.count += n
+        ids, n = [x.ids for x in made], len(spellings)
+        self.ids.add(np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, n))
+        self.bytes.add(np.frombuffer(b"".join(spellings), np.uint8), np.fromiter(map(len, spellings), np.int64, n))
 
     def _forget(self) -> None:
-        self.known = _Numbers()
-        self.pool, self.at, self.count = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), 0
+        self.hash, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.bytes, self.ids = _Runs("u1"), _Runs("<u4")
+
+    def _numbers(self, found: Pretokens, one: np.ndarray) -> np.ndarray:
+        """The number of each spelling; new ones are learned. What only shares a hash with another is learned each time."""
+        begin, length = found.begin[one], found.length[one]
+        number, held = np.full(len(one), -1, np.int64), np.zeros(len(one), bool)
+        at = np.searchsorted(self.hash, found.hash)
+        if len(self.hash):
+            near = np.minimum(at, len(self.hash) - 1)
+            there = np.flatnonzero(self.hash[near] == found.hash)
+            held[there] = True
+            known = self.number[near[there]].astype(np.int64)
+            same = length[there] == self.bytes.sizes(known)
+            there, known = there[same], known[same]
+            apart = np.flatnonzero(found.bytes[run_places(begin[there], length[there])] != self.bytes.take(known))
+            number[there] = known
+            number[there[np.searchsorted(np.cumsum(length[there]), apart, side="right")]] = -1
+        new = np.flatnonzero(number < 0)
+        if new.size:
+            number[new] = self.ids.count + np.arange(len(new))
+            raw = found.bytes.tobytes()
+            for k in range(0, len(new), _AT_ONCE):
+                some = new[k : k + _AT_ONCE]
+                self._learn([raw[b : b + n] for b, n in zip(begin[some].tolist(), length[some].tolist(), strict=True)])
+            fresh = new[(new < len(found.hash)) & ~held[new]]
+            self.number = np.insert(self.number, at[fresh], number[fresh])
+            self.hash = np.insert(self.hash, at[fresh], found.hash[fresh])
+        return number
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, special strings as the library takes them by default."""
@@ -79,19 +124,13 @@ class Encoder:
     def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
         found = Pretokens(texts)
         one, which = found.distinct()
-        raw, begin, length = found.bytes.tobytes(), found.begin[one].tolist(), found.length[one].tolist()
-        spelled = [raw[b : b + n] for b, n in zip(begin, length, strict=True)]
-        if len(self.known) + len(spelled) > _POOL_MOST:
+        if self.ids.count + len(one) > _POOL_MOST:
+            self._forget()
+        number = self._numbers(found, one)[which]
+        total = np.concatenate(([0], np.cumsum(self.ids.sizes(number))))
+        ids = self.ids.take(number)
+        if self.bytes.at[self.bytes.count] > _BYTES_MOST:
             self._forget()
-        index = np.fromiter(map(self.known.__getitem__, spelled), np.int64, len(spelled))  # new spellings get the next numbers
-        new = np.flatnonzero(index >= self.count)
-        if new.size:
-            first = np.unique(index[new], return_index=True)[1]  # in the order of their numbers
-            self._learn([spelled[k] for k in new[first].tolist()])
-        at = self.at
-        start, size = at[index][which], (at[index + 1] - at[index])[which]
-        total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.pool[np.repeat(start - total[:-1], size) + np.arange(int(total[-1]))]
         for a, b in zip(total[found.first].tolist(), total[found.past].tolist(), strict=True):
             yield ids[a:b]
 

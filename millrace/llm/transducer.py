@@ -146,6 +146,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return power[:n], inverse, noise
 
 
+def run_places(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of all runs, one run after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(begin - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Pretokens:
     """The pre-tokens of some texts: bytes of all, begin and length of each, and the text it is of."""
 
@@ -173,13 +179,14 @@ class Pretokens:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """One pre-token of each spelling, and which of those each pre-token is. Found by a rolling 64-bit hash; the bytes
-        are compared afterwards, and whatever only shares a hash counts for itself."""
+        are compared afterwards, and whatever only shares a hash counts for itself. `hash` gets the hashes, ascending, of all
+        spellings but the last, which are those that only share one."""
         power, inverse, noise = _powers(len(self.bytes))
         run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(noise[self.bytes] * power, dtype=np.uint64)))
         key = (run[self.begin + self.length] - run[self.begin]) * inverse[self.begin] + self.length.astype(np.uint64)
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        self.hash, first, which = np.unique(key, return_index=True, return_inverse=True)
         like = first[which]
-        at = np.repeat(self.begin - np.concatenate(([0], np.cumsum(self.length)[:-1])), self.length) + np.arange(int(self.length.sum()))
+        at = run_places(self.begin, self.length)
         same = self.length == self.length[like]
         other = np.minimum(at + np.repeat(self.begin[like] - self.begin, self.length), len(self.bytes) - 1)
         wrong = np.flatnonzero(self.bytes[at] != self.bytes[other])
